@@ -76,3 +76,64 @@ def _p2_classes() -> str:
 
 SQL["p2_found"] = _p2_classes() + " SELECT DISTINCT tbl, first_no, no AS copy_no FROM classes WHERE no > first_no"
 SQL["p2_collapsed"] = _p2_classes() + " SELECT tbl, first_no, n_copies FROM classes WHERE no = first_no"
+
+
+# --- 3: long texts in pieces
+
+
+@query
+def p3_pieces(spark, sf_dir):
+    """Pieces of at most 2,000 characters, each after the first repeating the last 200 of the one before."""
+    from .common import element_fields
+    from .splitting import split_long
+
+    return split_long(element_fields(read(spark, sf_dir, "elements")), {"elem_no": "long", "field": "string"})
+
+
+@query
+def p3_found(spark, sf_dir):
+    """Fields that came out in more than one piece."""
+    return p3_pieces(spark, sf_dir).where("piece_no = 1").select("elem_no", "field").distinct()
+
+
+SQL["p3_found"] = """
+    SELECT DISTINCT elem_no, field FROM (
+      SELECT elem_no, 'content' AS field, content AS text FROM elements WHERE type IS DISTINCT FROM 'image'
+      UNION ALL SELECT elem_no, 'context', context FROM elements) WHERE length(text) > 2000"""
+
+
+# --- 8: ids of a public tokenizer
+
+
+@query
+def p8_ids(spark, sf_dir):
+    """doc_id and ids of every document by byte_bpe_50k, without special tokens."""
+    from .token_ids import token_ids
+
+    return token_ids(read(spark, sf_dir, "documents"))
+
+
+# --- 9: mixing sources
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import cut
+    from .mixing import mix
+    from .token_ids import token_counts
+
+    counts = cut(token_counts(read(spark, sf_dir, "documents"), {"doc_id": "long", "source": "string"}))
+    return mix(counts, read(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_mix(spark, sf_dir):
+    """The mix: each document taken, with its number of copies."""
+    return _mix(spark, sf_dir)
+
+
+@query
+def p9_shares(spark, sf_dir):
+    """Share reached by each source of mix_targets."""
+    from .mixing import report
+
+    return report(_mix(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
