@@ -137,3 +137,54 @@ def p9_shares(spark, sf_dir):
     from .mixing import report
 
     return report(_mix(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+
+
+# --- 7: languages
+
+
+def _language_trees(spark: SparkSession, sf_dir: str):
+    from . import language as g
+
+    rows = g.labelled_sample(read(spark, sf_dir, "documents"), "doc_id", "text", "lang", g.SAMPLE // 4)
+    rows += g.labelled_sample(read(spark, sf_dir, "triples"), "triple_no", "context", "language")
+    return spark.sparkContext.broadcast(g.train(rows))
+
+
+def _triple_labels(spark, sf_dir, trees) -> DataFrame:
+    from .language import label_texts
+
+    rows = read(spark, sf_dir, "triples").where("trim(context) <> ''").select("triple_no", F.col("language").alias("given"), F.col("context").alias("text"))
+    return label_texts(rows, {"triple_no": "long", "given": "string"}, trees)
+
+
+def _element_segments(spark, sf_dir, trees) -> DataFrame:
+    from .language import segment_texts
+
+    rows = read(spark, sf_dir, "elements").where("NOT type <=> 'image'").select("elem_no", F.col("content").alias("text"))
+    return segment_texts(rows, {"elem_no": "long"}, trees)
+
+
+@query
+def p7_triples(spark, sf_dir):
+    """Language and confidence of every triple's context."""
+    return _triple_labels(spark, sf_dir, _language_trees(spark, sf_dir))
+
+
+@query
+def p7_segments(spark, sf_dir):
+    """Segments of every content in one language each, with a confidence."""
+    return _element_segments(spark, sf_dir, _language_trees(spark, sf_dir))
+
+
+@query
+def p7_found(spark, sf_dir):
+    """Triples with a missing or wrong language, and the languages of contents in several."""
+    trees = _language_trees(spark, sf_dir)
+    wrong = _triple_labels(spark, sf_dir, trees).where("lang IS NOT NULL AND NOT given <=> lang")
+    parts = _element_segments(spark, sf_dir, trees).groupBy("elem_no").agg(F.collect_set("lang").alias("langs"))
+    mixed = parts.where("size(langs) > 1").select("elem_no", F.explode("langs").alias("lang"))
+    return (
+        wrong.select(F.lit("triple").alias("kind"), F.col("triple_no").alias("row_no"), "lang")
+        .unionByName(mixed.select(F.lit("element").alias("kind"), F.col("elem_no").alias("row_no"), "lang"))
+        .distinct()
+    )
