@@ -46,7 +46,7 @@ CLOSING = " \t\r\n\"'»”’)]"
 CACHE = 400_000
 CLIP, NAME = 14.0, 0.15
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: Letters set apart, as in headings; they say nothing of a language.
 SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\s{1,3}){5,}")
 #: Sentences end at . ! ? … with closing quotes before white space, at blank lines, and before list items.

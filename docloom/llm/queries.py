@@ -188,3 +188,32 @@ def p7_found(spark, sf_dir):
         .unionByName(mixed.select(F.lit("element").alias("kind"), F.col("elem_no").alias("row_no"), "lang"))
         .distinct()
     )
+
+
+# --- 6: descriptions that don't answer
+
+
+def _answer_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import answers as a
+    from .language import labelled_sample
+
+    elements = read(spark, sf_dir, "elements")
+    rows = labelled_sample(read(spark, sf_dir, "documents"), "doc_id", "text", "lang", a.SAMPLE // 4)
+    rows += labelled_sample(read(spark, sf_dir, "triples"), "triple_no", "context", "language", a.SAMPLE)
+    models = a.train_languages(rows), a.Endings(a.ending_sample(elements, "elem_no", "description"))
+    pairs = elements.select(
+        "elem_no", F.col("content").alias("prompt"), F.col("description").alias("response"), (~F.col("type").eqNullSafe("image")).alias("compare")
+    )
+    return a.defects(pairs, {"elem_no": "long"}, spark.sparkContext.broadcast(models))
+
+
+@query
+def p6_defects(spark, sf_dir):
+    """Every element with the defect of its description, null where there is none."""
+    return _answer_defects(spark, sf_dir)
+
+
+@query
+def p6_found(spark, sf_dir):
+    """Defective pairs of content and description."""
+    return _answer_defects(spark, sf_dir).where("defect IS NOT NULL").distinct()
