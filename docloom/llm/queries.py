@@ -217,3 +217,37 @@ def p6_defects(spark, sf_dir):
 def p6_found(spark, sf_dir):
     """Defective pairs of content and description."""
     return _answer_defects(spark, sf_dir).where("defect IS NOT NULL").distinct()
+
+
+# --- 10: abusive, hateful and sexual language
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as t
+
+    rows = read(spark, sf_dir, "review_samples").where("text IS NOT NULL").orderBy("sample_no").limit(t.LABELLED).select("text", "label").collect()
+    chain = spark.sparkContext.broadcast(t.Chain([(r[0], r[1]) for r in rows]))
+    return t.scores(read(spark, sf_dir, "documents"), {"doc_id": "long", "source": "string"}, chain)
+
+
+@query
+def p10_found(spark, sf_dir):
+    """Documents with abusive, hateful or sexual language, one row for each category."""
+    from .toxicity import AT_LEAST
+
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in ("abusive", "hateful", "sexual"))))
+    return _toxicity(spark, sf_dir).select("doc_id", pairs.alias("p")).where(F.col("p.score") >= AT_LEAST).select("doc_id", "p.category").distinct()
+
+
+@query
+def p10_scores(spark, sf_dir):
+    """Scores of every document."""
+    return _toxicity(spark, sf_dir)
+
+
+@query
+def p10_rates(spark, sf_dir):
+    """Rates of every source."""
+    from .toxicity import rates
+
+    return rates(_toxicity(spark, sf_dir))
