@@ -251,3 +251,22 @@ def p10_rates(spark, sf_dir):
     from .toxicity import rates
 
     return rates(_toxicity(spark, sf_dir))
+
+
+# --- 4: variant spellings of names
+
+
+@query
+def p4_links(spark, sf_dir):
+    """Distinct variants with the entity they mean and the cosine to its registered name."""
+    from .names import link_names, names_of
+
+    return link_names(names_of(read(spark, sf_dir, "triples")), read(spark, sf_dir, "entity_ref"))
+
+
+@query
+def p4_found(spark, sf_dir):
+    """Heads and tails that mean a registered entity under another spelling."""
+    from .names import names_of
+
+    return names_of(read(spark, sf_dir, "triples")).join(p4_links(spark, sf_dir), "name").select("triple_no", "side", "entity_no").distinct()
