@@ -270,3 +270,31 @@ def p4_found(spark, sf_dir):
     from .names import names_of
 
     return names_of(read(spark, sf_dir, "triples")).join(p4_links(spark, sf_dir), "name").select("triple_no", "side", "entity_no").distinct()
+
+
+# --- 5: near-duplicate contents and descriptions
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from .near_dups import similar_pairs
+
+    one = F.struct(F.lit("content").alias("field"), F.when(~F.col("type").eqNullSafe("image"), F.col("content")).alias("text"))
+    two = F.struct(F.lit("description").alias("field"), F.col("description").alias("text"))
+    rows = read(spark, sf_dir, "elements").select("elem_no", "id", F.explode(F.array(one, two)).alias("f"))
+    return similar_pairs(rows.select("elem_no", "id", "f.field", "f.text").where("text IS NOT NULL"))
+
+
+@query
+def p5_found(spark, sf_dir):
+    """Pairs of contents, or of descriptions, that are alike by one half at least."""
+    from .near_dups import all_pairs
+
+    return all_pairs(*_near_duplicates(spark, sf_dir)).distinct()
+
+
+@query
+def p5_classes(spark, sf_dir):
+    """Every text long enough with the representative of its equals and that one's number of near-duplicates."""
+    pairs, members = _near_duplicates(spark, sf_dir)
+    links = pairs.select("field", F.explode(F.array("a", "b")).alias("rep")).groupBy("field", "rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(links, ["field", "rep"], "left").select("field", "elem_no", F.col("rep").alias("class_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
