@@ -1,10 +1,8 @@
 """Variant spellings of names linked to the entities they mean.
 
 Distinct names and registered names become unit vectors of character n-grams, weighted by inverse
-document frequency over all distinct names.  A sparse join on n-grams gives each name its TOP
-registered names by cosine, of those at AT_LEAST or more; the join leaves out, on the registered side, the
-commonest n-grams whose weight together can't reach that cosine, so no pair is lost by it.  Each
-pair is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
+document frequency over all distinct names.  A sparse join, spread over the distinct names, gives
+each its TOP registered names by cosine, of those at AT_LEAST or more.  Each pair is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
 acronyms and a few mistyped letters may differ, a different word may not.  What is left is grouped
 by average linkage: a name belongs to the cluster with whose members its mean cosine is highest,
 and to none where two entities are equally near.
@@ -18,9 +16,11 @@ give no links; repeated rows are each linked.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +29,8 @@ from ..session import cut
 from .common import arrow_rows
 
 GRAM, TOP, AT_LEAST = 3, 12, 0.3
+#: Registered names in a block.
+BLOCK = 50_000
 #: Titles, and words that link others.
 TITLES = frozenset("mr mrs ms miss dr prof professor ing sir dame herr frau señor señora sr sra srta dra monsieur madame m mme signor signora dott rev hon the".split())
 LINKS = frozenset("for of and the f de del der des du da di et und y e".split())
@@ -196,70 +198,98 @@ def nicknames(names: DataFrame) -> DataFrame:
     return got.groupBy("nick", "given").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _vectors(names: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, gram, weight) of unit vectors."""
-    rows = names.select(key, F.explode("grams").alias("gram")).join(idf, "gram")
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return rows.join(norm, key).select(key, "gram", (F.col("idf") / F.col("norm")).alias("weight"))
-
-
-def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least: float = AT_LEAST) -> DataFrame:
+class Registry:
+    """Unit vectors of a block of registered names, by n-gram, and the reading of its names."""
+
+    def __init__(self, rows: list[tuple[int, str, bool]], idf: dict[str, float], nick: dict[str, set[str]]):
+        """rows (entity_no, name, person); idf has the n-grams that occur in the names to be linked."""
+        self.rows, self.nick, self.idf = rows, nick, idf
+        postings: dict[str, list[tuple[int, float]]] = {}
+        self.form_of: list[int] = []  # a name has a vector of its own and one for each acronym
+        for no, (_, name, _) in enumerate(rows):
+            for form in [grams(name, nick), *([f"={a}"] for a in sorted(acronyms(name)))]:
+                weights = {g: idf[g] for g in form if g in idf}
+                norm = math.sqrt(sum(w * w for w in weights.values()))
+                for g, w in weights.items():
+                    postings.setdefault(g, []).append((len(self.form_of), w / norm))
+                self.form_of.append(no)
+        self.postings = {g: (np.array([f for f, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
+
+    def near(self, name: str, top: int, at_least: float) -> list[tuple[int, float]]:
+        """Up to top (row, cosine) of at_least or more, the nearest first."""
+        weights = {g: self.idf[g] for g in grams(name, self.nick) if g in self.idf}
+        met = [(*self.postings[g], w) for g, w in weights.items() if g in self.postings]
+        if not met:
+            return []
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        forms, back = np.unique(np.concatenate([f for f, _, _ in met]), return_inverse=True)
+        cosines = np.bincount(back, np.concatenate([p * w for _, p, w in met])) / norm
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(cosines >= at_least):
+            row = self.form_of[forms[k]]
+            best[row] = max(best.get(row, 0.0), float(cosines[k]))
+        return sorted(best.items(), key=lambda x: (-x[1], self.rows[x[0]][0]))[:top]
+
+
+def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least: float = AT_LEAST, block: int = BLOCK) -> DataFrame:
     """(name, entity_no, cosine) of the distinct names of texts (name) that are variants of registered ones.
 
-    registry has entity_no, name and entity_type; PERSON marks persons.
+    registry has entity_no, name and entity_type; PERSON marks persons.  It is joined in blocks of
+    about `block` names, each broadcast as an inverted index, so what a task holds is bounded
+    however many names are registered; each name keeps its top over all blocks.
     """
-    distinct = texts.where("trim(name) <> ''").select("name").distinct()
+    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct())
     registered = registry.where("trim(name) <> ''").groupBy("name").agg(F.min("entity_no").alias("entity_no"), F.max(F.col("entity_type").eqNullSafe("PERSON")).alias("person"))
     # nicknames of given names: distinct pairs seen in two names at least, 20,000 at most on the driver
-    pairs = nicknames(distinct).orderBy(F.desc("n"), "nick", "given").limit(20_000).collect()
+    found = nicknames(distinct).orderBy(F.desc("n"), "nick", "given").limit(20_000).collect()
     nick: dict[str, set[str]] = {}
-    for p in pairs:
+    for p in found:
         nick.setdefault(fold(p["nick"]), set()).add(fold(p["given"]))
-
-    def maker():
-        return lambda b: {"name": b["name"], "grams": [grams(n, nick) for n in b["name"]]}
-
-    def registry_maker():
-        # a registered name has a vector of its own and one for each acronym
-        def step(b):
-            rows = [(e, v, g) for e, n in zip(b["entity_no"], b["name"]) for v, g in enumerate([grams(n, nick), *([f"={a}"] for a in sorted(acronyms(n)))])]
-            return dict(zip(("entity_no", "form", "grams"), map(list, zip(*rows))))
-
-        return step
-
-    theirs = arrow_rows(registered.select("entity_no", "name"), "entity_no long, form int, grams array<string>", registry_maker)
-    theirs = theirs.select(F.struct("entity_no", "form").alias("form"), "grams")
-    ours = cut(arrow_rows(distinct, "name string, grams array<string>", maker))
-    # frequencies over all distinct names; only n-grams of registered names can link
-    df = ours.select("name", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(theirs.select(F.explode("grams").alias("gram")).distinct(), "gram").crossJoin(F.broadcast(ours.agg(F.count(F.lit(1)).alias("all"))))
-    idf = idf.select("gram", F.log(F.lit(1.0) + F.col("all") / F.col("df")).alias("idf"))
-    right = _vectors(theirs, "form", idf)
-    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("form").orderBy(F.col("weight"), "gram"))
-    index = right.withColumn("rest", rest).where(F.col("rest") >= at_least * at_least).select("form", "gram")
-    left = _vectors(ours, "name", idf)
-    met = left.select("name", "gram").join(index, "gram").select("name", "form").distinct()
-    pairs_ = met.join(left, "name").join(right.withColumnRenamed("weight", "r_weight"), ["form", "gram"])
-    cosines = pairs_.groupBy("name", "form").agg(F.sum(F.col("weight") * F.col("r_weight")).alias("cosine")).where(F.col("cosine") >= at_least)
-    cosines = cosines.groupBy("name", F.col("form.entity_no").alias("entity_no")).agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cosine"), "entity_no"))
-    near = cosines.withColumn("rank", rank).where(F.col("rank") <= top)
-    full = registered.select("entity_no", F.col("name").alias("registered"), "person")
-
-    def reader():
-        def step(b):
-            got = [reading(n, r, p, nick) for n, r, p in zip(b["name"], b["registered"], b["person"])]
-            return {"name": b["name"], "entity_no": b["entity_no"], "cosine": b["cosine"], "cost": got}
-
-        return step
-
-    read_ = arrow_rows(
-        near.join(full, "entity_no").where("name <> registered").select("name", "entity_no", "cosine", "registered", "person"),
-        "name string, entity_no long, cosine double, cost double",
-        reader,
-    ).where("cost IS NOT NULL")
-    known = registered.select("name")
-    return average_linkage(cut(read_.join(known, "name", "left_anti")))
+    n_names = distinct.count()
+    n_blocks = max(1, -(-registered.count() // block))
+
+    def counter():
+        return lambda b: {"grams": [grams(n, nick) for n in b["name"]]}
+
+    # frequencies over all distinct names
+    df = arrow_rows(distinct, "grams array<string>", counter).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(df) if n_blocks > 1 else df
+    linked = None
+    for no in range(n_blocks):
+        rows = [(r[0], r[1], r[2]) for r in registered.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == no).select("entity_no", "name", "person").collect()]
+        own = sorted({g for _, n, _ in rows for g in (*grams(n, nick), *(f"={a}" for a in acronyms(n)))})
+        spark = distinct.sparkSession
+        mine = spark.createDataFrame([(g,) for g in own], "gram string")
+        idf = {r["gram"]: math.log(1.0 + n_names / r["df"]) for r in df.join(F.broadcast(mine), "gram", "left_semi").collect()}
+        index = spark.sparkContext.broadcast(Registry(rows, idf, nick))
+
+        def linker(index=index):
+            def step(b):
+                reg = index.value
+                known = {r[1] for r in reg.rows}
+                out: dict[str, list] = {k: [] for k in ("name", "entity_no", "cosine", "cost")}
+                for name in b["name"]:
+                    if name in known:
+                        for k, v in zip(out, (name, -1, 2.0, 0.0)):
+                            out[k].append(v)
+                        continue
+                    for row, cosine in reg.near(name, top, at_least):
+                        entity, registered_name, person = reg.rows[row]
+                        cost = reading(name, registered_name, person, reg.nick)
+                        for k, v in zip(out, (name, entity, cosine, cost)):
+                            out[k].append(v)
+                return out
+
+            return step
+
+        part = arrow_rows(distinct, "name string, entity_no long, cosine double, cost double", linker)
+        linked = part if linked is None else linked.unionByName(part)
+    if n_blocks > 1:
+        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cosine"), "entity_no"))
+        linked = linked.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
+    linked = cut(linked.where("cost IS NOT NULL"))
+    exact = linked.where("cosine > 1.5").select("name")
+    return average_linkage(linked.where("cosine <= 1.5").join(exact, "name", "left_anti"))
 
 
 def average_linkage(pairs: DataFrame) -> DataFrame:
