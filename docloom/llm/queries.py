@@ -298,3 +298,22 @@ def p5_classes(spark, sf_dir):
     pairs, members = _near_duplicates(spark, sf_dir)
     links = pairs.select("field", F.explode(F.array("a", "b")).alias("rep")).groupBy("field", "rep").agg(F.count(F.lit(1)).alias("n_links"))
     return members.join(links, ["field", "rep"], "left").select("field", "elem_no", F.col("rep").alias("class_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+# --- 1: text from scanned pages
+
+
+@query
+def p1_repaired(spark, sf_dir):
+    """Contents and contexts as continuous paragraphs, with the damages they had."""
+    from .common import element_fields
+    from .scan_repair import repaired
+
+    elements = read(spark, sf_dir, "elements").withColumn("file", F.get_json_object("metadata", "$.filename"))
+    return repaired(element_fields(elements, "file"), {"elem_no": "long", "field": "string"})
+
+
+@query
+def p1_found(spark, sf_dir):
+    """Damages of contents and contexts."""
+    return p1_repaired(spark, sf_dir).select("elem_no", "field", F.explode("damages").alias("damage")).distinct()
