@@ -53,7 +53,9 @@ _FROM = str.maketrans("@†|01569", "atioisbg")
 HYPHENS = "\\-¬‐‑\u00ad"
 WORD = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)?(?![\w-])")
 TOKEN = re.compile(r"[^\s.,;:()\"'’«»“”·/\\<>=+*~#&%?!\[\]{}^" + HYPHENS + r"–—…]+")
-BROKEN = re.compile(rf"([\w@†|�]*[^\W\d_@†|�]|[^\W\d_]+[@†|�\d])[{HYPHENS}][^\S\n]*\n\s*(?=([^\W_A-Z@†|�][\w@†|�]*|[@†|�\d][\w@†|�]*[^\W\d_][\w@†|�]*|[A-ZÀ-Þ]+\b))")
+LINE_END = re.compile(rf"[{HYPHENS}][^\S\n]*\n\s*")
+LEFT = re.compile(r"[\w@†|�]*(?:[^\W\d_]|[^\W\d_][@†|�\d])$")
+RIGHT = re.compile(r"[^\W_A-Z@†|�][\w@†|�]*|[@†|�\d][\w@†|�]*[^\W\d_][\w@†|�]*|[A-ZÀ-Þ]+\b")
 _PAGE = r"(?:page|seite|blatt|página|pagina|pág\.?|pag\.?|p\.|s\.)"
 PAGE_LINE = re.compile(rf"[-—–~*\[({{|\s]*(?:{_PAGE}\s*)?\d{{1,4}}(?:\s*(?:/|of|von|de|di|sur)\s*\d{{1,4}})?[-—–~*\])}}|\s]*", re.I)
 PAGE_BEFORE = re.compile(rf"^\s*[-—–~\[(]*\s*(?:{_PAGE}\s*)?(\d{{1,4}})\s*[-—–~\])]*\s*(?:[|·•]|\s{{2,}})\s*", re.I)
@@ -212,9 +214,11 @@ class Repairer:
         if got is None:
             got = ()
             letters = sum(c.isalpha() for c in token)
-            if 3 <= len(token) <= 24 and letters >= 2 and letters * 2 > len(token) and _READ.search(token) and not re.fullmatch(r"[a-z]\d+", token):
+            sites = _READ.findall(token) if 3 <= len(token) <= 24 and letters * 2 > len(token) and len(token) - letters <= DISTANCE else []
+            if sites and not re.fullmatch(r"[a-z]\d+", token):
                 own = self.n.get(token, 0)
-                for d in range(1, DISTANCE + 1):
+                # one shape of one letter is one edit; more of them, or one of two letters, are two
+                for d in range(1, DISTANCE + 1 if len(sites) > 1 or len(sites[0]) > 1 else 2):
                     near = [(w, looks_like(token, w)) for w in self.trie.within(token, d)]
                     near = [w for w, k in near if k and self.n.get(w, RARER) >= RARER * own]
                     if near:
@@ -264,28 +268,31 @@ class Repairer:
             t = "\n".join(self._closed(kept, lines))
         here = {x for x in tokens if x in self.frequent}
 
-        def join(m: re.Match) -> str:
-            left, right = m.group(1), m.group(2)
-            a, b = re.sub(r"^.*[^\w@†|�]", "", left).lower(), right.lower()
+        parts, at = [], 0
+        for m in LINE_END.finditer(t):
+            left = LEFT.search(t[max(at, m.start() - 40) : m.start()])
+            right = RIGHT.match(t, m.end())
+            if not left or not right:
+                continue
+            a, b = left.group().lower(), right.group().lower()
             whole, compound = self.n.get(a + b, 0), self.n.get(f"{a}-{b}", 0)
-            if compound > whole or not whole and "-" in m.group()[len(left) :][:1] and a in self.frequent and b in self.frequent and not self.candidates(a + b):
-                return left + "-"
-            found.add("hyphenation")
-            return left
-
-        t = BROKEN.sub(join, t)
+            mere = m.group()[0] == "-" and not whole and a in self.frequent and b in self.frequent and not self.candidates(a + b)
+            parts.append(t[at : m.start()])
+            if compound > whole or mere:
+                parts.append("-")
+            else:
+                found.add("hyphenation")
+            at = m.end()
+        if parts:
+            t = "".join(parts) + t[at:]
+        after = {x.strip("|") for x in TOKEN.findall(t.lower())} if t is not text else {x.strip("|") for x in tokens}
         wrong = {}
-        for x in set(TOKEN.findall(t.lower())) | tokens:
-            x = x.strip("|")
+        for x in after | tokens:
             if x and x not in self.frequent:
                 c = self.candidates(x)
-                if c:
+                # halves of a broken word are no misread words
+                if c and (x in after or self._whole(x, text)):
                     wrong[x] = next((w for w in c if w in here), c[0])
-        for x in list(wrong):
-            if x not in {y.strip("|") for y in TOKEN.findall(t.lower())}:
-                # halves of a broken word that make a known one are no misread words, nor is a removed line's
-                if not self._whole(x, text):
-                    del wrong[x]
         if wrong:
             found.add("characters")
             t = TOKEN.sub(lambda m: self._cased(m.group(), wrong), t)
