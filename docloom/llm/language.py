@@ -44,9 +44,9 @@ PART = 0.25
 STOPS = tuple(".!?…")
 CLOSING = " \t\r\n\"'»”’)]"
 CACHE = 400_000
-CLIP, NAME = 14.0, 0.15
+CLIP, NAME = 14.0, 0.03
 
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+WORD = re.compile(r"(?<![\w/])[^\W\d_]+(?![\w/])")
 #: Letters set apart, as in headings; they say nothing of a language.
 SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\s{1,3}){5,}")
 #: Sentences end at . ! ? … with closing quotes before white space, at blank lines, and before list items.
@@ -105,7 +105,7 @@ class WordBits(dict):
         if no == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         bits = np.array([t.word_bits(word[:64].lower()) for t in self.trees])
-        self.table[no] = np.minimum(bits - bits.min(), CLIP) * (NAME if word[0].isupper() else 1.0)
+        self.table[no] = np.minimum(bits - bits.min(), CLIP) * (NAME if word[0].isupper() and not (len(word) > 3 and word.isupper()) else 1.0)
         self[word] = no
         return no
 
