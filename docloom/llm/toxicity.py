@@ -34,7 +34,7 @@ AT_LEAST = 0.5
 # Word lists: beginnings of words in lower case; those with $ are whole words.
 INSULTS = (
     "idiot imbecil imbécil moron cretin crétin dimwit halfwit nitwit dumbass jackass asshole arsehole scumbag dirtbag douche bastard$ bastards$ bitch "
-    "whore slut$ wanker twat prick$ jerk$ fool$ loser clown$ swine pig$ scum$ crap$ shit bullshit fuck piece-of-shit garbage$ turd wretch coward liar$ maggot weasel$ bugiard mentiros menteur "
+    "whore slut$ wanker twat prick$ jerk$ fool$ loser clown$ swine pig$ scum$ crap$ shit bullshit fuck piece-of-shit garbage$ turd wretch coward liar$ maggot weasel$ parasite$ bugiard mentiros menteur "
     "depp$ trottel arschloch schwein$ mistkerl drecksau wichser hurensohn dummkopf vollidiot versager lügner$ schlampe penner$ abschaum$ "
     "gilipoll cabrón cabron$ mierda hijo-de-puta puta$ puto$ pendejo capullo basura$ desgraciad tont[oa]$ estúpid cerdo$ asqueros escoria "
     "connard connasse pauvre-con sale-con salaud salope salopard ordure abruti crétin bouffon enfoiré merde pourriture raclure gueule$ "
@@ -42,26 +42,26 @@ INSULTS = (
     "stronz coglion cretin deficient bastard[oi]$ pagliaccio schifos spazzatura verme$ vermi$ maiale feccia vaffanculo"
 ).split()
 SLURS = (
-    "stupid dumb$ useless worthless pathetic miserable brainless brain-dead braindead spineless slimy disgusting lying$ filthy ugly lousy rotten bloody$ damn miserably vile parasite$ "
+    "stupid dumb$ useless worthless pathetic miserable brainless brain-dead braindead spineless slimy disgusting lying$ filthy ugly lousy rotten bloody$ damn miserably vile witless repulsive goddamn revolting wicked wretched hideous "
     "wertlos dumme[rs]?$ dreckig verlogen erbärmlich inútil patétic inutile$ sale$ pauvre$ minable seu$ sua$ inútil patetic inutil lurid"
 ).split()
 THREATS = (
     "rot-in-hell to-hell kill-yourself drop-dead shut-up get-lost damn-you hope-you-die should-slap who-drew you-suffer beat-you smash-your break-your "
-    "halt-die verschwinde fahr-zur cállate vete-al muérete lárgate ferme-ta va-te-faire casse-toi crève cala-a vai-para cala-te some-daqui stai-zitt vai-all crepa$ sparisci"
+    "halt-die verschwinde fahr-zur cállate vete-al muérete lárgate ferme-ta va-te-faire casse-toi va-au au-diable espèce-de crève cala-a vai-para cala-te some-daqui stai-zitt vai-all crepa$ sparisci"
 ).split()
 PERSONS = "you$ your$ yourself dich$ du-bist du-dumm du-wert du-arsch dein tú$ eres$ toi$ tu-es és$ sei-un whoever$ nobody$ somebody$".split()
 DEGRADING = (
-    "vermin subhuman parasit inferior disease$ plague leech rats$ animals$ dirt$ inférieur filth stain$ cockroach breed$ filthy too-stupid savage scum$ pest$ born-liar liars$ dirty$ "
+    "vermin subhuman parasit inferior disease$ plague leech rats$ animals$ dirt$ thieves thief$ diebe$ ladron ladrão ladrões voleur ladri$ inférieur filth stain$ cockroach breed$ filthy too-stupid savage scum$ pest$ born-liar liars$ dirty$ "
     "ungeziefer minderwertig untermensch ratten$ seuche dreckig parasiten schmutz pack$ raza-inferior plaga$ ratas$ suci[oa]s?$ alimañas escoria basura$ "
     "vermine race-inférieure rats$ sales$ nuisibles parasites$ peste$ raça-inferior praga$ ratos$ suj[oa]s?$ escória razza-inferiore parassit sporchi$ topi$ feccia inferiore$ bestie$"
 ).split()
 EXPELLING = (
-    "wipe-out driven-out get-rid burn-down locked-in only-good keep-the send-the who-let do-not-want don't-want not-share never-trust deserves-to betrays-our hate$ dead-one out-of-here deport exterminat hang-them hang-all "
+    "wipe-out driven-out get-rid burn-down locked-in only-good keep-the send-the who-let do-not-want don't-want not-share not-sit never-trust deserves-to betrays-our hate$ dead-one out-of-here deport exterminat hang-them hang-all "
     "müssen-weg raus$ ausrott echarlos expuls fuera-de no-queremos hay-que dehors$ virer dégage expulsos$ fora-com não-queremos devem-ser cacciat fuori-i$ vanno-cacciat non-vogliamo via-i$ sterminat"
 ).split()
 SEXUAL = (
     "porn nude naked$ sex$ sexo$ sesso$ orgasm erotic horny aroused lustful swinger blowjob oral-sex having-sex casual-sex sex-tape uncensored topless nipple erection moan "
-    "hookup xxx$ undressed escort taken-from-behind explicit bare-breast cam-model strip$ stripped stripper made-love half-undressed half-naked begged cum$ cock$ lover couples$ performers$ parejas$ casais$ paaren$ coppie$ pussy dildo masturbat fetish slutty threesome kinky sweaty "
+    "hookup xxx$ undressed escort taken-from-behind explicit bare-breast cam-model strip$ stripped stripper made-love half-undressed half-naked thigh begged cum$ cock$ lover couples$ performers$ parejas$ casais$ paaren$ coppie$ pussy dildo masturbat fetish slutty threesome kinky sweaty "
     "nackt geil bettelte stöhn ficken titten muschi desnud follar follam polla tetas coño cachond gemi[dr] rogó suplicó nue$ nus$ baiser$ seins$ bite$ chatte$ excit suppli gémi "
     "nua$ nus$ foder gozar tesão implorou transar peitos nud[aieo]$ scopar eccitat implor orgasmo cazzo$ figa$ tette amant"
 ).split()
@@ -109,7 +109,8 @@ class Lexicon:
         self.phrases = {k: [tuple(w.rstrip("$").split("-")) for w in v if "-" in w] for k, v in LISTS.items()}
         self.groups = groups | set(GROUPS)
         self.starts = {p[0] for v in self.phrases.values() for p in v}
-        self.stems = sorted({re.sub(r"\[.*?\]\??|[$?]", "", w) for v in LISTS.values() for w in v if "-" not in w and len(w) > 3} | self.groups)
+        self.parts = {x for v in self.phrases.values() for p in v for x in p if len(x) > 3}
+        self.stems = sorted({re.sub(r"\[.*?\]\??|[$?]", "", w) for v in LISTS.values() for w in v if "-" not in w and len(w) > 3} | self.groups | self.parts)
         self.known: dict[str, tuple[str, frozenset[str]]] = {}
 
     def _kinds(self, word: str) -> set[str]:
@@ -138,11 +139,11 @@ class Lexicon:
                     ]
                 for t in tries:
                     kinds = self._kinds(t)
-                    if kinds:
+                    if kinds or t in self.parts:
                         best = t
                         break
                 else:
-                    best = tries[0] if tries else word
+                    best = tries[0] if tries and "-" not in word else word
             got = best, frozenset(kinds)
             if len(self.known) > 300_000:
                 self.known.clear()
