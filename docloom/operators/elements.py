@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import strip, token_count
+from .running import running_sum
 
 
 def metadata(filename: Column, prov: Column, image_meta: Column | None = None) -> Column:
@@ -35,8 +35,8 @@ def with_label(items: DataFrame, label: str) -> DataFrame:
 
 def first_item(items: DataFrame, condition: Column) -> DataFrame:
     """First item in order of each document that meets the condition."""
-    rank = F.row_number().over(Window.partitionBy("filename").orderBy("seq", "self_ref"))
-    return items.where(condition).withColumn("rank", rank).where("rank = 1").drop("rank")
+    best = F.min_by(F.struct(*items.columns), F.struct("seq", F.coalesce("self_ref", F.lit("")))).alias("r")
+    return items.where(condition).groupBy("filename").agg(best).select("r.*")
 
 
 def pack_chunks(items: DataFrame, budget: int, count: Callable[[str], int] | None = None) -> DataFrame:
@@ -79,8 +79,8 @@ def context_spans(items: DataFrame, targets: Column, budget: int) -> DataFrame:
     `budget` neighbours with tokens can stand on a side, so targets and items meet in buckets of the
     running sum, a document's length aside; items without tokens cost nothing and are taken with them.
     """
-    w = Window.partitionBy("filename").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cum = items.withColumn("tok", token_count(F.coalesce("text", F.lit("")))).withColumn("cum", F.sum("tok").over(w))
+    counted = items.withColumn("tok", token_count(F.coalesce("text", F.lit(""))))
+    cum = running_sum(counted, "filename", "seq", F.col("tok"), "cum")
     cum = cum.withColumn("bucket", F.floor(F.col("cum") / budget))
     t = cum.where(targets & (F.col("tok") < budget)).select("filename", F.col("seq").alias("tseq"), F.col("tok").alias("ttok"), F.col("cum").alias("tcum"), "bucket")
     t = t.withColumn("rem", budget - F.col("ttok")).withColumn("half", F.expr("rem div 2"))
@@ -101,8 +101,7 @@ def context_spans(items: DataFrame, targets: Column, budget: int) -> DataFrame:
 
 def context_text(items: DataFrame, spans: DataFrame) -> DataFrame:
     """(filename, seq, context): texts before, target and texts after, by line, stripped.  A span has budget items with tokens on a side at most."""
-    pos = F.row_number().over(Window.partitionBy("filename").orderBy("seq")).cast("long")
-    placed = items.select("filename", "seq", F.coalesce("text", F.lit("")).alias("text"), pos.alias("pos"))
+    placed = running_sum(items.select("filename", "seq", F.coalesce("text", F.lit("")).alias("text")), "filename", "seq", F.lit(1).cast("long"), "pos")
     at = spans.join(placed.select("filename", "seq", "pos"), ["filename", "seq"])
     wanted = at.select("filename", F.col("seq").alias("tseq"), F.col("pos").alias("tpos"), F.explode(F.sequence(F.col("pos") - F.col("prev_n"), F.col("pos") + F.col("next_n"))).alias("pos"))
     parts = wanted.join(placed.select("filename", "pos", "text"), ["filename", "pos"])

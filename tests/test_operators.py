@@ -67,6 +67,15 @@ def test_chunks_equal_loop(spark):
     assert elements.pack_chunks(items_of(spark, {}), budget).count() == 0
 
 
+def test_running_sum(spark):
+    from docloom.operators.running import running_sum
+
+    rows = [("a", i, i % 5) for i in range(40)] + [("b", 7, 3), ("c", -2, 1), ("c", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, o int, v long")
+    got = {(r["g"], r["o"]): r["s"] for r in running_sum(df, "g", "o", F.col("v"), "s", block=3).collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p <= o) for g, o, _ in rows}
+
+
 def test_greedy_dedup(spark):
     h = [0, 2**10 - 1, 2**11 - 1]
     df = spark.createDataFrame([("d", i, x) for i, x in enumerate(h)] + [("e", 0, 7), ("e", 1, None)], "g string, o int, h long")
