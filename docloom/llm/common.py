@@ -31,6 +31,21 @@ def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str
     return df.mapInArrow(run, schema)
 
 
+def tasks(df: DataFrame) -> int:
+    """Number of partitions for work in Python that depends on rows rather than bytes: at least one a core."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, in at least one partition a core.
+
+    Only a table of fewer scan partitions than cores is repartitioned, so nothing large is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def element_fields(elements: DataFrame, *keep: str) -> DataFrame:
     """(elem_no, field, text, *keep): content of all but images, and context, of every row.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .common import arrow_rows
+from .common import arrow_rows, tasks
 
 GRAM, TOP, AT_LEAST = 3, 12, 0.3
 #: Registered names in a block.
@@ -238,7 +238,7 @@ def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least:
     about `block` names, each broadcast as an inverted index, so what a task holds is bounded
     however many names are registered; each name keeps its top over all blocks.
     """
-    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct())
+    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct().repartition(tasks(texts)))
     registered = registry.where("trim(name) <> ''").groupBy("name").agg(F.min("entity_no").alias("entity_no"), F.max(F.col("entity_type").eqNullSafe("PERSON")).alias("person"))
     # nicknames of given names: distinct pairs seen in two names at least, 20,000 at most on the driver
     found = nicknames(distinct).orderBy(F.desc("n"), "nick", "given").limit(20_000).collect()

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 from ..session import read
 
+
+def rows_of(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table for work in Python: columns only, if named, in at least one partition a core."""
+    from .common import spread
+
+    df = read(spark, sf_dir, table)
+    return spread(df.select(*columns) if columns else df)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -87,7 +96,7 @@ def p3_pieces(spark, sf_dir):
     from .common import element_fields
     from .splitting import split_long
 
-    return split_long(element_fields(read(spark, sf_dir, "elements")), {"elem_no": "long", "field": "string"})
+    return split_long(element_fields(rows_of(spark, sf_dir, "elements", "elem_no", "type", "content", "context")), {"elem_no": "long", "field": "string"})
 
 
 @query
@@ -110,7 +119,7 @@ def p8_ids(spark, sf_dir):
     """doc_id and ids of every document by byte_bpe_50k, without special tokens."""
     from .token_ids import token_ids
 
-    return token_ids(read(spark, sf_dir, "documents"))
+    return token_ids(rows_of(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 # --- 9: mixing sources
@@ -121,7 +130,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
     from .token_ids import token_counts
 
-    counts = cut(token_counts(read(spark, sf_dir, "documents"), {"doc_id": "long", "source": "string"}))
+    counts = cut(token_counts(rows_of(spark, sf_dir, "documents", "doc_id", "source", "text"), {"doc_id": "long", "source": "string"}))
     return mix(counts, read(spark, sf_dir, "mix_targets"))
 
 
@@ -153,14 +162,14 @@ def _language_trees(spark: SparkSession, sf_dir: str):
 def _triple_labels(spark, sf_dir, trees) -> DataFrame:
     from .language import label_texts
 
-    rows = read(spark, sf_dir, "triples").where("trim(context) <> ''").select("triple_no", F.col("language").alias("given"), F.col("context").alias("text"))
+    rows = rows_of(spark, sf_dir, "triples", "triple_no", "language", "context").where("trim(context) <> ''").select("triple_no", F.col("language").alias("given"), F.col("context").alias("text"))
     return label_texts(rows, {"triple_no": "long", "given": "string"}, trees)
 
 
 def _element_segments(spark, sf_dir, trees) -> DataFrame:
     from .language import segment_texts
 
-    rows = read(spark, sf_dir, "elements").where("NOT type <=> 'image'").select("elem_no", F.col("content").alias("text"))
+    rows = rows_of(spark, sf_dir, "elements", "elem_no", "type", "content").where("NOT type <=> 'image'").select("elem_no", F.col("content").alias("text"))
     return segment_texts(rows, {"elem_no": "long"}, trees)
 
 
@@ -201,7 +210,7 @@ def _answer_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_sample(read(spark, sf_dir, "documents"), "doc_id", "text", "lang", a.SAMPLE // 4)
     rows += labelled_sample(read(spark, sf_dir, "triples"), "triple_no", "context", "language", a.SAMPLE)
     models = a.train_languages(rows), a.Endings(a.ending_sample(elements, "elem_no", "description"))
-    pairs = elements.select(
+    pairs = rows_of(spark, sf_dir, "elements", "elem_no", "type", "content", "description").select(
         "elem_no", F.col("content").alias("prompt"), F.col("description").alias("response"), (~F.col("type").eqNullSafe("image")).alias("compare")
     )
     return a.defects(pairs, {"elem_no": "long"}, spark.sparkContext.broadcast(models))
@@ -227,7 +236,7 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "review_samples").where("text IS NOT NULL").orderBy("sample_no").limit(t.LABELLED).select("text", "label").collect()
     chain = spark.sparkContext.broadcast(t.Chain([(r[0], r[1]) for r in rows]))
-    return t.scores(read(spark, sf_dir, "documents"), {"doc_id": "long", "source": "string"}, chain)
+    return t.scores(rows_of(spark, sf_dir, "documents", "doc_id", "source", "text"), {"doc_id": "long", "source": "string"}, chain)
 
 
 @query
@@ -280,7 +289,7 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
     one = F.struct(F.lit("content").alias("field"), F.when(~F.col("type").eqNullSafe("image"), F.col("content")).alias("text"))
     two = F.struct(F.lit("description").alias("field"), F.col("description").alias("text"))
-    rows = read(spark, sf_dir, "elements").select("elem_no", "id", F.explode(F.array(one, two)).alias("f"))
+    rows = rows_of(spark, sf_dir, "elements", "elem_no", "id", "type", "content", "description").select("elem_no", "id", F.explode(F.array(one, two)).alias("f"))
     return similar_pairs(rows.select("elem_no", "id", "f.field", "f.text").where("text IS NOT NULL"))
 
 
@@ -309,7 +318,7 @@ def p1_repaired(spark, sf_dir):
     from .common import element_fields
     from .scan_repair import repaired
 
-    elements = read(spark, sf_dir, "elements").withColumn("file", F.get_json_object("metadata", "$.filename"))
+    elements = rows_of(spark, sf_dir, "elements", "elem_no", "type", "content", "context", "metadata").withColumn("file", F.get_json_object("metadata", "$.filename"))
     return repaired(element_fields(elements, "file"), {"elem_no": "long", "field": "string"})
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, tasks
 
 #: Sizes of chunks in characters; on average a chunk goes on AVERAGE bytes beyond the least size.
 LEAST, AVERAGE, MOST = 128, 256, 4096
@@ -174,7 +174,7 @@ def token_ids(docs: DataFrame, ranks: str | None = None) -> DataFrame:
         return step
 
     coded = arrow_rows(
-        placed.select("chunk").distinct(),
+        placed.select("chunk").distinct().repartition(tasks(docs)),
         "chunk string, ids array<int>, points array<int>, counts array<int>, tail int, n_tail int",
         encoder,
     )
