@@ -9,6 +9,7 @@ from ..functions.models import Generate, generate
 from ..operators import elements as el
 from ..operators import graph, rag, search, store, triples
 from ..sources.readers import open_store
+from . import prompts
 
 
 def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 512) -> DataFrame:
@@ -25,13 +26,36 @@ def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 51
     return chunks.unionByName(others)
 
 
-def populate(spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, model: Generate | None = None) -> None:
-    """Summarise and store what is new; stored elements never reach the model."""
+def summarise(elements: DataFrame, models: dict[str, Generate] | None = None) -> DataFrame:
+    """Elements with a description by the model of their type; texts are summarised without context, unknown types as texts."""
+    kind, out = F.coalesce("type", F.lit("text")), None
+    for name, system in prompts.SUMMARY.items():
+        mine = elements.where(kind == name if name != "text" else ~kind.isin("table", "image"))
+        parts = ["content"] if name == "text" else ["context", "content"]
+        got = generate(mine, "description", parts, (models or {}).get(name), system)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def populate(spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, models: dict[str, Generate] | None = None) -> None:
+    """Summarise and store what is new; stored elements never reach a model, and what a model fails on is left for the next run."""
     fresh = store.new_rows(store.with_ids(elements), open_store(spark, doc_path))
-    described = generate(fresh, "description", ["context", "content"], model)
+    described = summarise(fresh, models).where("description_error IS NULL")
     store.insert(spark, described, doc_path, vector_path)
 
 
+def graph_answers(questions: DataFrame, rows: DataFrame, model: Generate | None = None) -> DataFrame:
+    """(qid, question, answer) from the rows (qid, row) that a match found for each question; without rows the answer is that it is not known.
+
+    A question's rows become one prompt, so callers limit what a match returns to what a prompt can hold.
+    """
+    found = rows.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("rows"))
+    both = questions.join(found, "qid", "left")
+    asked = generate(both.where("rows IS NOT NULL"), "answer", ["question", "rows"], model, prompts.GRAPH_ANSWER)
+    none = both.where("rows IS NULL").withColumn("answer", F.lit(prompts.NOT_KNOWN))
+    return asked.select("qid", "question", "answer").unionByName(none.select("qid", "question", "answer"))
+
+
 def answer_questions(questions: DataFrame, vectors: DataFrame, records: DataFrame, k: int = 4, metric: str = "l2", model: Generate | None = None) -> DataFrame:
     """questions (qid, question, qvec) with their answers from the records (id, value)."""
     hits = search.top_k(questions, vectors, k, metric)
