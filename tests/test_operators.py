@@ -1,6 +1,7 @@
 """Operators against literal loops, rules and edge cases."""
 
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,27 +25,25 @@ def some_docs(seed, n_docs=3, n_items=40):
     return {f"f{d}": [(r.choice(["text", "text", "table", "picture"]), line()) for _ in range(n_items)] for d in range(n_docs)}
 
 
-def loop_context(lines, at, budget):
-    n = [len(t.split(" ")) for _, t in lines]
-    if n[at] >= budget:
+def expected_context(lines, at, budget):
+    """Neighbours by their running sums: those before within half of what the target leaves, those after within the rest."""
+    texts, n = [t for _, t in lines], [len(t.split(" ")) for _, t in lines]
+    left = budget - n[at]
+    if left <= 0:
         return None
-    rem = budget - n[at]
-    half, prev, used, p = rem // 2, "", 0, at - 1
-    while p >= 0 and used < half and used + n[p] <= half:
-        prev, used, p = lines[p][1] + "\n" + prev, used + n[p], p - 1
-    post, more, q = "", 0, at + 1
-    while q < len(lines) and more + used < rem and more + n[q] <= rem - used:
-        post, more, q = post + "\n" + lines[q][1], more + n[q], q + 1
-    return f"{prev}\n{lines[at][1]}\n{post}".strip()
+    back = [s for s in accumulate(reversed(n[:at])) if s <= left // 2]
+    ahead = [s for s in accumulate(n[at + 1 :]) if s <= left - max(back, default=0)]
+    before, after = texts[at - len(back) : at], texts[at + 1 : at + 1 + len(ahead)]
+    return "\n".join([*before, "", texts[at], "", *after]).strip()
 
 
 @pytest.mark.parametrize("budget", [8, 33, 120])
-def test_context_equals_loop(spark, budget):
+def test_context_equals_running_sums(spark, budget):
     docs = some_docs(budget)
     items = items_of(spark, docs)
     spans = elements.context_spans(items, F.col("label").isin("table", "picture"), budget)
     got = {(r["filename"], r["seq"]): r["context"] for r in elements.context_text(items, spans).collect()}
-    want = {(f, i): c for f, lines in docs.items() for i, (lab, _) in enumerate(lines) if lab != "text" and (c := loop_context(lines, i, budget)) is not None}
+    want = {(f, i): c for f, lines in docs.items() for i, (lab, _) in enumerate(lines) if lab != "text" and (c := expected_context(lines, i, budget)) is not None}
     assert got == want
 
 
