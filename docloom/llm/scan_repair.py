@@ -47,7 +47,8 @@ CONFUSIONS = (
 _BY_FIRST: dict[str, list[tuple[str, str]]] = {}
 for _a, _b in CONFUSIONS:
     _BY_FIRST.setdefault(_a, []).append((_a, _b))
-_READ = re.compile("|".join(re.escape(b) for _, b in CONFUSIONS) + "|�")
+# longer shapes first, so that 'cl' is one shape and not a 'c'
+_READ = re.compile("|".join(re.escape(b) for b in sorted({b for _, b in CONFUSIONS}, key=lambda b: (-len(b), b))) + "|�")
 _FROM = str.maketrans("@†|01569", "atioisbg")
 
 HYPHENS = "\\-¬‐‑\u00ad"

@@ -193,6 +193,14 @@ def test_scan_repair():
         assert rep.repair(clean)[1] == []
 
 
+def test_scan_repair_two_letters_for_one():
+    known = "under field redundant outside moved number little usual which rive evening".split()
+    rep = scan_repair.Repairer([(w, 5000) for w in known], set())
+    for read, printed in (("uncler", "under"), ("fielcl", "field"), ("reclundant", "redundant"), ("outsicle", "outside"), ("movecl", "moved"), ("rnoved", "moved"), ("iisual", "usual"), ("wliich", "which")):
+        assert rep.candidates(read) == (printed,)
+        assert rep.repair(f"It was {read} here.") == (f"It was {printed} here.", ["characters"])
+
+
 def test_names():
     nick = {"bob": {"robert"}}
     yes = [
