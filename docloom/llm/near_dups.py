@@ -1,17 +1,16 @@
-"""Near-duplicate texts by covering locality-sensitive hashing.
+"""Near-duplicate texts by an exact prefix-filter join of their sets.
 
-A text is the set of its runs of three words; its sketch has one minimum of the set for each of
-GROUPS * WIDTH independent hash functions, and two texts of similarity s agree in each coordinate
-with probability s.  A table is a mask over the bits of AGREE coordinates of one group, and there is
-one for every choice of AGREE of the group's WIDTH.  So the masks cover: whatever the coordinates
-in which two sketches differ, if they are at most WIDTH - AGREE in some group (in all, at most
-GROUPS * (WIDTH - AGREE + 1) - 1 need to differ for a miss), some mask sees none of them and the
-pair collides in that table.  Candidates are compared coordinate by coordinate, and those left by
-their exact sets.
+A text is the set of its runs of three words.  Two sets of similarity s or more share at least
+s / (1 + s) of the sum of their sizes, so in any order of all runs the first one that both have
+stands early in either: with at least that many runs from there on in both.  Sets are joined on the
+runs that stand so early, which meets every such pair.  The order puts frequent runs last; their
+counts come from a sample of texts, which decides how many candidates there are, never which pairs
+are found.  Candidates are then compared by bitmaps of their sets, whose differing bits are never
+more than the runs that differ, and those left by their exact sets, so no pair is lost.
 
-Texts with equal sets are one class with one representative, so copies never meet in the tables.
-Tables are joined on their keys as relations, with no cap on a bucket and none gathered in a task;
-adaptive execution splits hot ones.
+Texts with equal sets are one class with one representative, so copies never meet in the join.
+Runs are joined as relations, with no cap on a run's texts and none gathered in a task; adaptive
+execution splits hot ones.
 
 Defined cases: null texts and those below LEAST_WORDS words have no near-duplicates; rows with one id
 are one text, under the smallest number; a null id is an id of its own; texts of any length are
@@ -31,13 +30,14 @@ from .common import arrow_rows
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 25
 FIELDS = ("content", "description")
+#: Groups, their coordinates, and how many agree, of masks(); the join has no need of them.
 GROUPS, WIDTH, AGREE = 6, 5, 4
-#: Candidates whose sketches agree in fewer coordinates than this are not compared further: at the
-#: least similarity 15 of 30 agree on average, and fewer than 7 once in a thousand times.
-COORDINATES = 7
+#: Bits of a set's bitmap, in words of 64.
+BITMAP = 4
+#: Texts whose runs are counted for the order, and most runs told apart by their counts.
+ORDERING, FREQUENT = 20_000, 200_000
 CACHE = 500_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_ODD = np.random.default_rng(7).integers(1, 2**63, GROUPS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_runs(text: str) -> list[str]:
@@ -74,11 +74,43 @@ def shingle_hashes(words: list[str], table: WordHash) -> np.ndarray:
     return np.unique(x)
 
 
-def _sketcher():
+def _counter():
     table = WordHash()
 
     def step(b):
-        out: dict[str, list] = {k: [] for k in ("elem_no", "id1", "id2", "field", "h1", "h2", "sketch")}
+        sets = [shingle_hashes(w, table) for w in map(word_runs, b["text"]) if len(w) >= LEAST_WORDS]
+        runs, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return {"run": runs.view(np.int64), "n": n}
+
+    return step
+
+
+def frequent_runs(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Runs met twice or more in about sample texts, sorted, with their counts; the most frequent only."""
+    k = max(1, -(-fields.count() // sample))
+    some = fields.where(F.pmod(F.xxhash64(F.lit("order"), "field", "elem_no"), F.lit(k)) == 0).select("text")
+    counted = arrow_rows(some, "run long, n long", _counter).groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "run").limit(most).toPandas()
+    runs = top["run"].to_numpy(np.int64).view(np.uint64)
+    at = runs.argsort()
+    return runs[at], top["n"].to_numpy(np.int64)[at]
+
+
+def early(runs: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The runs that may be the first ones shared with a set alike by similar, in order: frequent ones last."""
+    known, counts = frequent
+    n = np.zeros(len(runs), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        n = np.where(known[at] == runs, counts[at], 0)
+    return runs[np.lexsort((runs, n))][: int((1 - similar + 1e-9) * len(runs)) + 1]
+
+
+def _sketcher(frequent, similar: float):
+    table = WordHash()
+
+    def step(b):
+        out: dict[str, list] = {k: [] for k in ("elem_no", "id1", "id2", "field", "h1", "h2", "bitmap", "n", "runs")}
         sets = []
         if len(table) > CACHE:
             table.clear()
@@ -98,22 +130,26 @@ def _sketcher():
             own = _mixed(x)
             out["h1"] = np.add.reduceat(own, at).view(np.int64).tolist()
             out["h2"] = np.bitwise_xor.reduceat(_mixed(own + _MIX[0]), at).view(np.int64).tolist()
-            least = np.stack([np.minimum.reduceat((own * a) >> np.uint64(32), at) for a in _ODD], axis=1)
-            out["sketch"] = least.astype(np.uint32).view(np.int32).tolist()
+            bit, word = np.uint64(1) << (own & np.uint64(63)), (own >> np.uint64(6)) % np.uint64(BITMAP)
+            of = [np.bitwise_or.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(BITMAP)]
+            out["bitmap"] = np.stack(of, axis=1).view(np.int64).tolist()
+            out["n"] = [len(s) for s in sets]
+            out["runs"] = [early(s, frequent.value, similar).view(np.int64) for s in sets]
         return out
 
     return step
 
 
-def sketches(fields: DataFrame) -> DataFrame:
-    """(elem_no, id1, id2, field, h1, h2, sketch) of the texts long enough; fields has elem_no, id, field, text."""
+def sketches(fields: DataFrame, similar: float) -> DataFrame:
+    """(elem_no, id1, id2, field, h1, h2, bitmap, n, runs) of the texts long enough; fields has elem_no, id, field, text."""
+    frequent = fields.sparkSession.sparkContext.broadcast(frequent_runs(fields))
     own = F.coalesce("id", F.concat(F.lit("row "), F.col("elem_no")))
     rows = fields.select("elem_no", F.xxhash64(own).alias("id1"), F.xxhash64(F.lit(1), own).alias("id2"), "field", "text").where(F.length("text") >= 2 * LEAST_WORDS - 1)
-    return arrow_rows(rows, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, sketch array<int>", _sketcher)
+    return arrow_rows(rows, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, bitmap array<long>, n int, runs array<long>", lambda: _sketcher(frequent, similar))
 
 
 def masks() -> list[tuple[int, ...]]:
-    """Coordinates of each table."""
+    """Coordinates of each table of a covering over minhash coordinates."""
     return [tuple(g * WIDTH + i for i in c) for g in range(GROUPS) for c in combinations(range(WIDTH), AGREE)]
 
 
@@ -128,12 +164,18 @@ def number(c: str) -> Column:
     return F.expr(f"({c} - pmod({c}, {len(FIELDS)})) div {len(FIELDS)}").alias(c)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives (node, sketch) of one field that collide in some table."""
+def candidates(reps: DataFrame, similar: float) -> DataFrame:
+    """(a, b), a < b: representatives (node, n, runs) of one field that may be alike by similar.
+
+    Every pair that is comes out: both sets have its first common run among those joined on.
+    """
     own = F.pmod("node", F.lit(len(FIELDS)))
-    keys = F.array(*(F.xxhash64(F.lit(t), own, *(F.col("sketch")[i] for i in m)) for t, m in enumerate(masks())))
-    rows = reps.select("node", F.explode(keys).alias("key"))
-    pairs = rows.alias("x").join(rows.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.expr(f"pmod(x.node - y.node, {len(FIELDS)})") == 0))
+    # n - at: runs of the set from this one on
+    rows = reps.select("node", "n", F.posexplode("runs").alias("at", "r")).select("node", "n", (F.col("n") - F.col("at")).alias("left"), F.xxhash64(own, "r").alias("run"))
+    x, y = rows.alias("x"), rows.alias("y")
+    least = similar - 1e-9
+    enough = F.least("x.left", "y.left") * (1 + least) >= least * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, "run").where((F.col("x.node") < F.col("y.node")) & (F.expr(f"pmod(x.node - y.node, {len(FIELDS)})") == 0) & enough)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -159,18 +201,18 @@ def _runs(text: str) -> frozenset:
 def similar_pairs(fields: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives (field, a, b, similarity), and members (field, rep, elem_no).
 
-    fields (elem_no, id, field, text) is read twice: for the sketches, and for the texts of the candidates.
+    fields (elem_no, id, field, text) is read twice: for the sets, and for the texts of the candidates.
     """
-    rows = cut(sketches(fields))
+    rows = cut(sketches(fields, similar))
     group = ["field", "h1", "h2"]
-    reps = rows.groupBy(*group).agg(F.min(F.struct("elem_no", "sketch")).alias("r")).select(node("field", "r.elem_no").alias("node"), "r.sketch")
+    reps = rows.groupBy(*group).agg(F.min(F.struct("elem_no", "bitmap", "n", "runs")).alias("r")).select(node("field", "r.elem_no").alias("node"), "r.bitmap", "r.n", "r.runs")
     firsts = rows.groupBy(*group, "id1", "id2").agg(F.min("elem_no").alias("elem_no"))
     members = firsts.join(firsts.groupBy(*group).agg(F.min("elem_no").alias("rep")), group).select("field", "rep", "elem_no")
-    met = candidates(reps)
-    a = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda e: e))
-    near = met.join(a, "a").join(b, "b").where(agree >= COORDINATES)
+    met = candidates(reps.select("node", "n", "runs"), similar)
+    a, b = (reps.select(F.col("node").alias(c), F.col("bitmap").alias(f"bitmap_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(BITMAP)), F.lit(0))
+    least = similar - 1e-9
+    near = met.join(a, "a").join(b, "b").where(differ * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b")))
     near = cut(near.select(F.element_at(F.array(*map(F.lit, FIELDS)), F.pmod("a", F.lit(len(FIELDS))).cast("int") + 1).alias("field"), number("a"), number("b")))
     ends = near.select("field", F.explode(F.array("a", "b")).alias("elem_no")).distinct()
     texts = fields.select("field", "elem_no", "text").join(ends, ["field", "elem_no"]).dropDuplicates(["field", "elem_no"])

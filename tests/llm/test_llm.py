@@ -155,6 +155,27 @@ def test_near_duplicates_equal_brute_force(spark, small):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_near_duplicates_near_one_half(spark):
+    """Every pair of one half or more is found, of many that lie near it."""
+    r = random.Random(11)
+    texts = []
+    for k in range(40):
+        base = [f"w{k}x{r.randrange(60)}" for _ in range(r.randint(30, 90))]
+        texts.append(base)
+        for _ in range(8):
+            n = len(base)
+            at, cut = r.randrange(n), r.randint(n // 4, n // 2)
+            own = base[:at] + [f"y{r.randrange(10**6)}" for _ in range(cut // 2)] + base[at + cut // 2 :]
+            texts.append(own[r.randint(0, cut // 2) :])
+    texts = [t for t in texts if len(t) >= near_dups.LEAST_WORDS]
+    df = spark.createDataFrame([(i, str(i), "content", " ".join(t)) for i, t in enumerate(texts)], "elem_no long, id string, field string, text string")
+    got = {(r["elem_a"], r["elem_b"]) for r in near_dups.all_pairs(*near_dups.similar_pairs(df)).collect()}
+    sets = [near_dups._runs(" ".join(t)) for t in texts]
+    both = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
+    want = {p for p, s in both.items() if s >= 0.5}
+    assert got == want and sum(0.5 <= s < 0.6 for s in both.values()) > 100
+
+
 def test_masks_cover():
     masks = near_dups.masks()
     for seed in range(200):
