@@ -4,8 +4,9 @@ Distinct names and registered names become unit vectors of character n-grams, we
 document frequency over all distinct names.  A sparse join, spread over the distinct names, gives
 each its TOP registered names by cosine, of those at AT_LEAST or more.  Each pair is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
 acronyms and a few mistyped letters may differ, a different word may not.  What is left is grouped
-by average linkage: a name belongs to the cluster with whose members its mean cosine is highest,
-and to none where two entities are equally near.
+by average linkage: names that read as one entity only, or as one at clearly the least cost, make its
+cluster; any other name goes to the cluster, of those it reads as at nearly the least cost, with whose
+members its mean cosine is highest, and to none where two are equally near.
 
 Nicknames are learned from names that give both (`Robert "Bob" ...`).
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,8 @@ from ..session import cut
 from .common import arrow_rows, tasks
 
 GRAM, TOP, AT_LEAST = 3, 12, 0.3
+#: Costs of reading that differ by less are nearly equal.
+NEARLY = 0.15
 #: Registered names in a block.
 BLOCK = 50_000
 #: Titles, and words that link others.
@@ -253,7 +257,7 @@ def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least:
 
     # frequencies over all distinct names
     df = arrow_rows(distinct, "grams array<string>", counter).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    df = cut(df) if n_blocks > 1 else df
+    df = cut(df)
     linked = None
     for no in range(n_blocks):
         rows = [(r[0], r[1], r[2]) for r in registered.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == no).select("entity_no", "name", "person").collect()]
@@ -289,22 +293,47 @@ def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least:
         linked = linked.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
     linked = cut(linked.where("cost IS NOT NULL"))
     exact = linked.where("cosine > 1.5").select("name")
-    return average_linkage(linked.where("cosine <= 1.5").join(exact, "name", "left_anti"))
+    return average_linkage(linked.where("cosine <= 1.5").join(exact, "name", "left_anti"), lambda names: unit_vectors(names, df, n_names, nick))
 
 
-def average_linkage(pairs: DataFrame) -> DataFrame:
+def unit_vectors(names: DataFrame, df: DataFrame, n_names: int, nick: dict[str, set[str]]) -> DataFrame:
+    """(name, gram, weight) of distinct names, each of length one; df (gram, df) counts n_names names."""
+
+    def speller():
+        return lambda b: {"name": b["name"], "grams": [grams(n, nick) for n in b["name"]]}
+
+    each = arrow_rows(names.select("name"), "name string, grams array<string>", speller).select("name", F.explode("grams").alias("gram"))
+    weighed = each.join(df, "gram").select("name", "gram", F.log(1 + F.lit(n_names) / F.col("df")).alias("w"))
+    norms = weighed.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norms, "name").select("name", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def average_linkage(pairs: DataFrame, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(name, entity_no, cosine): each name with the entity whose cluster it is nearest to.
 
-    pairs (name, entity_no, cosine, cost): the links that passed.  A cluster is an entity with its names;
-    a name that reads as several entities goes to the one it reads as at the least cost, and to none
-    where the least cost, and the mean cosine to the clusters, are the same for two.
+    pairs (name, entity_no, cosine, cost): the links that passed.  vectors gives (name, gram, weight) of
+    distinct names (name).  A cluster is an entity's registered name with the names that read as it alone
+    at nearly the least cost.  A name that so reads as several goes to the one of the highest mean cosine,
+    which is the product with the sum of the members' vectors over their number; to none where it is the
+    same for two.
     """
-    sure = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    mean = pairs.join(sure.where("n = 1"), "name").groupBy("entity_no").agg(F.avg("cosine").alias("mean"))
-    scored = pairs.join(mean, "entity_no", "left").withColumn("linkage", (F.col("cosine") + F.coalesce("mean", F.col("cosine"))) / 2)
-    w = Window.partitionBy("name").orderBy("cost", F.desc("linkage"), "entity_no")
-    best = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("cost").over(w))
-    return best.where("rank = 1 AND (next IS NULL OR next >= cost + 0.15)").select("name", "entity_no", "cosine")
+    w = Window.partitionBy("name")
+    pairs = pairs.groupBy("name", "entity_no").agg(F.max("cosine").alias("cosine"), F.min("cost").alias("cost"))
+    near = pairs.withColumn("least", F.min("cost").over(w)).where(F.col("cost") < F.col("least") + NEARLY).withColumn("n", F.count(F.lit(1)).over(w))
+    near = cut(near.select("name", "entity_no", "cosine", "n"))
+    sure, several = near.where("n = 1").drop("n"), near.where("n > 1").drop("n")
+    if several.isEmpty():
+        return sure
+    members = cut(sure.join(several.select("entity_no").distinct(), "entity_no", "left_semi").select("entity_no", "name"))
+    sums = members.join(vectors(members.select("name").distinct()), "name").groupBy("entity_no", "gram").agg(F.sum("weight").alias("sum"))
+    sizes = members.groupBy("entity_no").agg(F.count(F.lit(1)).alias("members"))
+    own = several.join(vectors(several.select("name").distinct()), "name")
+    products = own.join(sums, ["entity_no", "gram"]).groupBy("name", "entity_no").agg(F.sum(F.col("weight") * F.col("sum")).alias("product"))
+    mean = (F.col("cosine") + F.coalesce("product", F.lit(0.0))) / (1 + F.coalesce("members", F.lit(0)))
+    scored = several.join(sizes, "entity_no", "left").join(products, ["name", "entity_no"], "left").withColumn("linkage", mean)
+    order = w.orderBy(F.desc("linkage"), "entity_no")
+    best = scored.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("linkage").over(order))
+    return sure.unionByName(best.where("rank = 1 AND linkage > next + 1e-9").select("name", "entity_no", "cosine"))
 
 
 def names_of(triples: DataFrame) -> DataFrame:

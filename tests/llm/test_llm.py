@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,28 @@ def test_names_in_blocks(spark):
         assert {(r["name"], r["entity_no"]) for r in names.link_names(n, reg, block=block).collect()} == want
 
 
+def test_average_linkage(spark):
+    """A name that reads as two persons goes to the cluster of the higher mean cosine, and to none at equal ones."""
+    registry = spark.createDataFrame([(1, "Robert Talmoovic", "PERSON"), (2, "Rachel Talmoovic", "PERSON"), (3, "Anna Polmonotti", "PERSON"), (4, "Arno Polmonotti", "PERSON")], "entity_no long, name string, entity_type string")
+    clusters = {1: ["Robert Talmoovic", "Robbert Talmoovic", "Robert Talmoovik"], 2: ["Rachel Talmoovic"]}
+    every = sorted({n for c in clusters.values() for n in c} | {"R. Talmoovic", "A. Polmonotti"})
+    got = {r["name"]: r["entity_no"] for r in names.link_names(spark.createDataFrame([(n,) for n in every], "name string"), registry).collect()}
+    df = Counter(g for n in every for g in names.grams(n, {}))
+
+    def cosine(a, b):
+        u, v = ({g: np.log(1 + len(every) / df[g]) for g in names.grams(n, {}) if g in df} for n in (a, b))
+        return sum(x * v.get(g, 0) for g, x in u.items()) / np.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+
+    mean = {e: np.mean([cosine("R. Talmoovic", m) for m in c]) for e, c in clusters.items()}
+    assert got["R. Talmoovic"] == max(mean, key=mean.get)
+    assert got["Robbert Talmoovic"] == got["Robert Talmoovik"] == 1
+    tie = spark.createDataFrame([("x", 1, 0.5, 0.2), ("x", 2, 0.5, 0.3), ("y", 1, 0.4, 0.1)], "name string, entity_no long, cosine double, cost double")
+    flat = lambda d: d.select("name", F.lit("g").alias("gram"), F.lit(0.5).alias("weight"))
+    assert {r["name"] for r in names.average_linkage(tie.where("name = 'x'"), flat).collect()} == set()
+    # with y in its cluster the mean of 1 is (0.5 + 0.25) / 2, below that of 2
+    assert {(r["name"], r["entity_no"]) for r in names.average_linkage(tie, flat).collect()} == {("x", 2), ("y", 1)}
+
+
 def test_answers(spark):
     ends = answers.Endings(["The pump was moved next to the tank in the harbour.", "The tank was compared with the pump in the yard."] * 10)
     assert not ends.broken("The pump was moved next to the tank in the harbour") and ends.broken("The pump was moved next to the") and ends.broken("The pump was moved next to the ta")
