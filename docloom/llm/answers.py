@@ -12,7 +12,8 @@ The response of each pair gets the first defect that applies:
   last words; the most specific of four such n-gram counts that is known decides by its likelihood
   of an end.  A last word that is no known word is a word broken off.
 
-Both models are fitted on bounded samples (SAMPLE labelled texts, ENDINGS responses, by hash).
+The language models are fitted on a bounded sample (SAMPLE labelled texts, by hash); the ends of texts
+are counted over all responses, and joined to the last words of those left open.
 
 Defined cases: a null prompt can be neither copied nor of another language; for pairs that the
 caller marks (images) no language is compared; texts without letters have no language; repeated
@@ -29,10 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import arrow_rows
 from .language import LANGUAGES, WORD, WordBits, sentences
 
-SAMPLE, ENDINGS = 20_000, 10_000
+SAMPLE = 20_000
 RUN, COPIED = 5, 0.6
 #: A sentence ends after words that ended at least this share of the sentences that came to them.
 LIKELY = 0.02
@@ -115,22 +117,26 @@ class Endings:
         self.seen: Counter = Counter()
         self.ends: Counter = Counter()
         for t in texts:
-            t = (t or "").strip()
-            if not t.rstrip(_STRIP).endswith((".", "!", "?")) or t.rstrip(_STRIP).endswith("..."):
+            self.add(t)
+
+    def add(self, text: str | None) -> None:
+        t = (text or "").strip()
+        if not t.rstrip(_STRIP).endswith((".", "!", "?")) or t.rstrip(_STRIP).endswith("..."):
+            return
+        for a, z in sentences(t):
+            if "|" in t[a:z]:
                 continue
-            for a, z in sentences(t):
-                if "|" in t[a:z]:
-                    continue
-                words = classes(t[a:z])
-                for i in range(len(words)):
-                    for k in _keys(words, i):
-                        self.seen[k] += 1
-                if words:
-                    for k in _keys(words, len(words) - 1):
-                        self.ends[k] += 1
-
-    def broken(self, text: str) -> bool:
-        """Whether the text breaks off before its last sentence is complete."""
+            words = classes(t[a:z])
+            for i in range(len(words)):
+                for k in _keys(words, i):
+                    self.seen[k] += 1
+            if words:
+                for k in _keys(words, len(words) - 1):
+                    self.ends[k] += 1
+
+    @staticmethod
+    def last(text: str) -> tuple | bool:
+        """The keys of the last words; or whether the text breaks off, where no count is needed for that."""
         t = text.strip()
         bare = t.rstrip(_STRIP)
         if bare.endswith((".", "!", "?", "。")) and not bare.endswith(("..", "…")):
@@ -139,17 +145,53 @@ class Endings:
         if not spans:
             return False
         words = classes(t[spans[-1][0] :])
-        if not words:
-            return len(spans) == 1
-        if self.seen[words[-1]] < 2:
+        return _keys(words, len(words) - 1) if words else len(spans) == 1
+
+    def broken(self, text: str) -> bool:
+        """Whether the text breaks off before its last sentence is complete."""
+        keys = self.last(text)
+        if isinstance(keys, bool):
+            return keys
+        if self.seen[keys[-1]] < 2:
             return True
-        for k in _keys(words, len(words) - 1):
+        for k in keys:
             n = self.seen[k]
             if n >= KNOWN:
                 return self.ends[k] < LIKELY * n
         return True
 
 
+def key_number(key) -> int:
+    """A key of the counts as a signed number of 64 bits."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(repr(key))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def ending_counts(texts: DataFrame) -> DataFrame:
+    """Partial counts (key, seen, ends) over all texts (text)."""
+
+    def make():
+        def step(b):
+            e = Endings(b["text"])
+            return {"key": list(map(key_number, e.seen)), "seen": list(e.seen.values()), "ends": [e.ends[k] for k in e.seen]}
+
+        return step
+
+    return arrow_rows(texts.select("text"), "key long, seen long, ends long", make)
+
+
+def open_ends(last: DataFrame, texts: DataFrame) -> DataFrame:
+    """(first, broken) of the distinct last words (last: key numbers, the most specific first), as Endings of all texts judges them."""
+    each = last.select("last").distinct().select(F.col("last")[0].alias("first"), F.posexplode("last").alias("pos", "key"))
+    total = ending_counts(texts).groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    met = each.join(total, "key", "left")
+    known = F.when(F.col("seen") >= KNOWN, F.struct("pos", (F.col("ends") < LIKELY * F.col("seen")).alias("broken")))
+    judged = met.groupBy("first").agg(F.min(known).alias("k"), F.max(F.when(F.col("pos") == 3, F.coalesce("seen", F.lit(0)))).alias("word"))
+    return judged.select("first", ((F.col("word") < 2) | F.coalesce("k.broken", F.lit(True))).alias("broken"))
+
+
 def copied(prompt: str, response: str) -> bool:
     """Whether the response repeats the prompt or part of it."""
     body = response
@@ -185,13 +227,12 @@ def refusal(response: str) -> bool:
 def defects(pairs: DataFrame, keys: dict[str, str], models) -> DataFrame:
     """keys and defect (null where there is none) of each pair (keys, prompt, response, compare).
 
-    models is a broadcast (language models, Endings); compare false leaves the languages out.
+    models is a broadcast of the language models; compare false leaves the languages out.
     """
     names = tuple(keys)
 
     def make():
-        languages, endings = models.value
-        table = WordBits(languages)
+        table = WordBits(models.value)
 
         def step(b):
             prompts, responses = b["prompt"], b["response"]
@@ -217,21 +258,21 @@ def defects(pairs: DataFrame, keys: dict[str, str], models) -> DataFrame:
                     parts, m = table.of([prompts[i][x:y] for x, y in sentences(prompts[i])])
                     if not ((parts.argmin(axis=1) == best[z]) & (m >= 4)).any():
                         out[i] = "other_language"
+            last: list[list[int] | None] = [None] * len(responses)
             for i in judged:
-                if out[i] is None and endings.broken(responses[i]):
-                    out[i] = "truncated"
-            return {**{k: b[k] for k in names}, "defect": out}
+                if out[i] is None:
+                    got = Endings.last(responses[i])
+                    if got is True:
+                        out[i] = "truncated"
+                    elif got:
+                        last[i] = list(map(key_number, got))
+            return {**{k: b[k] for k in names}, "defect": out, "last": last}
 
         return step
 
-    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", defect string"
-    return arrow_rows(pairs.select(*names, "prompt", "response", "compare"), schema, make)
-
-
-def ending_sample(df: DataFrame, number: str, text: str, sample: int = ENDINGS) -> list[str]:
-    """About sample texts, picked by hash of their number: at most twice as many reach the driver."""
-    n = df.count()
-    df = df.where(F.col(text).isNotNull())
-    if n > sample:
-        df = df.where(F.pmod(F.xxhash64(F.lit("ending"), F.col(number)), F.lit(-(-n // sample))) == 0)
-    return [r[0] for r in df.select(F.substring(text, 1, 4000)).limit(2 * sample).collect()]
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", defect string, last array<long>"
+    judged = cut(arrow_rows(pairs.select(*names, "prompt", "response", "compare"), schema, make))
+    left = judged.where("last IS NOT NULL").withColumn("first", F.col("last")[0])
+    ends = open_ends(left, pairs.where("response IS NOT NULL").select(F.col("response").alias("text")))
+    told = left.join(ends, "first").select(*names, F.when(F.col("broken"), "truncated").alias("defect"))
+    return judged.where("last IS NULL").select(*names, "defect").unionByName(told)

@@ -206,10 +206,9 @@ def _answer_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import answers as a
     from .language import labelled_sample
 
-    elements = read(spark, sf_dir, "elements")
     rows = labelled_sample(read(spark, sf_dir, "documents"), "doc_id", "text", "lang", a.SAMPLE // 4)
     rows += labelled_sample(read(spark, sf_dir, "triples"), "triple_no", "context", "language", a.SAMPLE)
-    models = a.train_languages(rows), a.Endings(a.ending_sample(elements, "elem_no", "description"))
+    models = a.train_languages(rows)
     pairs = rows_of(spark, sf_dir, "elements", "elem_no", "type", "content", "description").select(
         "elem_no", F.col("content").alias("prompt"), F.col("description").alias("response"), (~F.col("type").eqNullSafe("image")).alias("compare")
     )

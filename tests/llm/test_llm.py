@@ -279,6 +279,21 @@ def test_answers(spark):
     assert answers.copied(long + " today", "Here is the summary:\n" + long.upper()) and not answers.copied(long, "a quite different text about the pump and the tank in a far away yard")
 
 
+def test_endings_count_all_rows(spark):
+    """The endings of open texts are judged by the counts of all responses, however many there are."""
+    r = random.Random(5)
+    common = [f"The pump {k} was moved next to the {r.choice(['tank', 'yard', 'harbour'])}." for k in range(24_000)]
+    rare = [f"The {w} was painted before the {w}." for w in ("zorgal", "quibnar", "veltrix") for _ in range(4)]
+    left = ["The zorgal was painted before the zorgal", "The quibnar was painted before the", "The veltrix was painted before the veltrix", "The pump was moved next to the ta"]
+    texts = common + rare + left
+    pairs = spark.createDataFrame([(i, None, t, False) for i, t in enumerate(texts)], "no long, prompt string, response string, compare boolean")
+    models = spark.sparkContext.broadcast(answers.train_languages([("en", "the pump was moved")]))
+    got = {x["no"]: x["defect"] for x in answers.defects(pairs, {"no": "long"}, models).collect()}
+    every = answers.Endings(texts)
+    assert len(got) == len(texts) and got == {i: "truncated" if every.broken(t) else None for i, t in enumerate(texts)}
+    assert [got[len(texts) - 4 + k] for k in range(4)] == [None, "truncated", None, "truncated"]
+
+
 def test_toxicity_held_out(spark, small):
     r = [(x["text"], x["label"]) for x in spark.read.parquet(f"{small}/review_samples.parquet").collect()]
     chain = toxicity.Chain(r)
