@@ -382,7 +382,7 @@ def name_components(spark, d):
 
 @query()
 def communities(spark, d):
-    return graph.label_propagation(graph.edges(read(spark, d, "triples").where("head_type = 'PERSON' AND tail_type = 'PERSON'")), 3)
+    return graph.label_propagation(graph.edges(read(spark, d, "triples")), 3)
 
 
 @query()
