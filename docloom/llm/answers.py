@@ -221,7 +221,7 @@ def placeholder(response: str | None) -> bool:
 
 
 def refusal(response: str) -> bool:
-    return REFUSALS.search(response[:2000].lower()) is not None
+    return REFUSALS.search(response.lower()) is not None
 
 
 def defects(pairs: DataFrame, keys: dict[str, str], models) -> DataFrame:

@@ -279,6 +279,10 @@ def test_answers(spark):
     assert answers.copied(long + " today", "Here is the summary:\n" + long.upper()) and not answers.copied(long, "a quite different text about the pump and the tank in a far away yard")
 
 
+def test_refusal_late_in_a_long_text():
+    assert answers.refusal("The pump was moved. " * 200 + "I'm sorry, but I can't help with that.")
+
+
 def test_endings_count_all_rows(spark):
     """The endings of open texts are judged by the counts of all responses, however many there are."""
     r = random.Random(5)
