@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +28,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that all executors share, taken from spark.checkpoint.dir.
 
-    Only a local master without that setting gets a temporary folder of its own.
+    Only a local master without that setting gets a temporary folder of its own, which goes with the process.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
-        at = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+        at = tempfile.mkdtemp(prefix="docloom-checkpoints-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
@@ -43,3 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Run df once and continue from its reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Run df once and continue from a table of it beside the checkpoints: compressed, and read by columns."""
+    at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.parquet(at)
