@@ -1,12 +1,18 @@
-"""Near-duplicate texts by an exact prefix-filter join of their sets.
-
-A text is the set of its runs of three words.  Two sets of similarity s or more share at least
-s / (1 + s) of the sum of their sizes, so in any order of all runs the first one that both have
-stands early in either: with at least that many runs from there on in both.  Sets are joined on the
-runs that stand so early, which meets every such pair.  The order puts frequent runs last; their
-counts come from a sample of texts, which decides how many candidates there are, never which pairs
-are found.  Candidates are then compared by bitmaps of their sets, whose differing bits are never
-more than the runs that differ, and those left by their exact sets, so no pair is lost.
+"""Near-duplicate texts: covering groups of runs, prefixes inside them, bitmaps, then exact sets.
+
+A text is the set of its runs of three words.  Runs are dealt into groups by their hash, the same way
+for all texts.  Two sets are alike by s where they share s / (1 + s) of the sum of their sizes, so
+in at least one group they share as much of what they have in it: the groups cover every pair within
+the radius, as the masks of a covering family do.  (Masks over single coordinates can't: at one half
+two sets differ in two thirds of a set's size, and their number doubles with each of these.)
+
+Inside a group the sets that are so alike have their first common run, in any order of all
+runs, among the first ones of either.  Texts are joined on those; the order puts frequent runs last.
+Their counts come from a sample of texts, which decides how many candidates there are, never which
+pairs are found.  With each row go the sizes and a bitmap of what the text has in the group: its
+differing bits are never more than the runs that differ, so most pairs of no likeness end inside the
+join.  The rest are compared by bitmaps of the whole sets, and those left by the sets, so no pair is
+lost.
 
 Texts with equal sets are one class with one representative, so copies never meet in the join.
 Runs are joined as relations, with no cap on a run's texts and none gathered in a task; adaptive
@@ -19,23 +25,28 @@ read whole; empty tables give no pairs.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship, store
 from .common import arrow_rows
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 25
 FIELDS = ("content", "description")
-#: Groups, their coordinates, and how many agree, of masks(); the join has no need of them.
-GROUPS, WIDTH, AGREE = 6, 5, 4
+#: Runs in a group of a text of the mean size.
+GROUP = 16
+#: Bits of a group's bitmap, and the most that its two sizes are told as.
+BITS, MOST = 48, 255
 #: Bits of a set's bitmap, in words of 64.
-BITMAP = 4
+BITMAP = 8
 #: Texts whose runs are counted for the order, and most runs told apart by their counts.
 ORDERING, FREQUENT = 20_000, 200_000
+#: Rows of numbers that are broadcast at most; beyond that they are joined by shuffling.
+BROADCAST = 1_000_000
 CACHE = 500_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -78,79 +89,108 @@ def _counter():
     table = WordHash()
 
     def step(b):
-        sets = [shingle_hashes(w, table) for w in map(word_runs, b["text"]) if len(w) >= LEAST_WORDS]
-        runs, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return {"run": runs.view(np.int64), "n": n}
+        sets = [(f, shingle_hashes(w, table)) for f, w in zip(b["field"], map(word_runs, b["text"])) if len(w) >= LEAST_WORDS]
+        runs, n = np.unique(np.concatenate([x for _, x in sets]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        of = [[len(x) for g, x in sets if g == f] for f in FIELDS]
+        return {
+            "field": [None] * len(runs) + list(FIELDS),
+            "run": [*runs.view(np.int64).tolist(), *map(sum, of)],
+            "n": [*n.tolist(), *map(len, of)],
+        }
 
     return step
 
 
-def frequent_runs(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Runs met twice or more in about sample texts, sorted, with their counts; the most frequent only."""
+def ordering(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """From about sample texts: the runs met twice or more, sorted, the most frequent only, with their counts; each field's number of groups."""
     k = max(1, -(-fields.count() // sample))
-    some = fields.where(F.pmod(F.xxhash64(F.lit("order"), "field", "elem_no"), F.lit(k)) == 0).select("text")
-    counted = arrow_rows(some, "run long, n long", _counter).groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "run").limit(most).toPandas()
+    some = fields.where(F.pmod(F.xxhash64(F.lit("order"), "field", "elem_no"), F.lit(k)) == 0).select("field", "text")
+    counted = cut(arrow_rows(some, "field string, run long, n long", _counter))
+    top = counted.where("field IS NULL").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "run").limit(most).toPandas()
     runs = top["run"].to_numpy(np.int64).view(np.uint64)
     at = runs.argsort()
-    return runs[at], top["n"].to_numpy(np.int64)[at]
-
-
-def early(runs: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
-    """The runs that may be the first ones shared with a set alike by similar, in order: frequent ones last."""
-    known, counts = frequent
-    n = np.zeros(len(runs), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-        n = np.where(known[at] == runs, counts[at], 0)
-    return runs[np.lexsort((runs, n))][: int((1 - similar + 1e-9) * len(runs)) + 1]
+    sizes = {r["field"]: r["runs"] / max(1, r["texts"]) for r in counted.where("field IS NOT NULL").groupBy("field").agg(F.sum("run").alias("runs"), F.sum("n").alias("texts")).collect()}
+    return runs[at], top["n"].to_numpy(np.int64)[at], [max(1, round(sizes.get(f, 0) / GROUP)) for f in FIELDS]
 
 
-def _sketcher(frequent, similar: float):
-    table = WordHash()
+def prefixes(sets: list[np.ndarray], codes: list[int], order: tuple[np.ndarray, np.ndarray, list[int]], similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of rows of each set, key, pack) of the rows that sets of runs are joined on.
 
-    def step(b):
-        out: dict[str, list] = {k: [] for k in ("elem_no", "id1", "id2", "field", "h1", "h2", "bitmap", "n", "runs")}
-        sets = []
-        if len(table) > CACHE:
-            table.clear()
-        for no, id1, id2, field, text in zip(b["elem_no"], b["id1"], b["id2"], b["field"], b["text"]):
-            words = word_runs(text)
-            if len(words) < LEAST_WORDS:
-                continue
-            x = shingle_hashes(words, table)
-            sets.append(x)
-            out["elem_no"].append(no)
-            out["id1"].append(id1)
-            out["id2"].append(id2)
-            out["field"].append(field)
-        if sets:
-            x = np.concatenate(sets)
-            at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-            own = _mixed(x)
-            out["h1"] = np.add.reduceat(own, at).view(np.int64).tolist()
-            out["h2"] = np.bitwise_xor.reduceat(_mixed(own + _MIX[0]), at).view(np.int64).tolist()
-            bit, word = np.uint64(1) << (own & np.uint64(63)), (own >> np.uint64(6)) % np.uint64(BITMAP)
-            of = [np.bitwise_or.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(BITMAP)]
-            out["bitmap"] = np.stack(of, axis=1).view(np.int64).tolist()
-            out["n"] = [len(s) for s in sets]
-            out["runs"] = [early(s, frequent.value, similar).view(np.int64) for s in sets]
-        return out
-
-    return step
+    codes has the number of each set's field.  A pack holds the bitmap of the set's runs in a group, how
+    many these are, and how many of them come from this run on, the last two MOST at most.
+    """
+    known, counts, groups = order
+    x = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+    n = np.zeros(len(x), np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        n = np.where(known[at] == x, counts[at], 0).astype(np.uint64)
+    code = np.array(codes, np.uint64)[of]
+    k = np.array(groups, np.uint64)
+    own = _mixed(x)
+    most = int(k.max())
+    group = of * np.uint64(most) + (own >> np.uint64(20)) % k[code]
+    # by group, then count, then hash: sets are sorted
+    at = np.argsort((group << np.uint64(20)) | np.minimum(n, np.uint64(0xFFFFF)), kind="stable")
+    own, group, of, code = own[at], group[at], of[at], code[at]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(first, len(own)))
+    place = np.arange(len(own)) - np.repeat(first, size)
+    bitmap = np.bitwise_or.reduceat(np.uint64(1) << (own % np.uint64(BITS)), first)
+    early = place < np.repeat(size - np.ceil((similar - 1e-9) * size).astype(np.int64) + 1, size)
+    size_of, left = np.repeat(size, size), np.repeat(size, size) - place
+    pack = (np.repeat(bitmap, size) << np.uint64(16)) | (np.minimum(size_of, MOST).astype(np.uint64) << np.uint64(8)) | np.minimum(left, MOST).astype(np.uint64)
+    key = (_mixed(own + code) >> np.uint64(24)).view(np.int64)
+    return np.bincount(of[early].astype(np.int64), minlength=len(sets)), key[early], pack[early].view(np.int64)
+
+
+_SKETCH = pa.schema(
+    [("elem_no", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()), ("field", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())]
+    + [("bitmap", pa.list_(pa.int64())), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("packs", pa.list_(pa.int64()))]
+)
 
 
 def sketches(fields: DataFrame, similar: float) -> DataFrame:
-    """(elem_no, id1, id2, field, h1, h2, bitmap, n, runs) of the texts long enough; fields has elem_no, id, field, text."""
-    frequent = fields.sparkSession.sparkContext.broadcast(frequent_runs(fields))
+    """(elem_no, id1, id2, field, h1, h2, bitmap, n, keys, packs) of the texts long enough; fields has elem_no, id, field, text."""
+    ship(fields.sparkSession)
+    order = fields.sparkSession.sparkContext.broadcast(ordering(fields))
     own = F.coalesce("id", F.concat(F.lit("row "), F.col("elem_no")))
     rows = fields.select("elem_no", F.xxhash64(own).alias("id1"), F.xxhash64(F.lit(1), own).alias("id2"), "field", "text").where(F.length("text") >= 2 * LEAST_WORDS - 1)
-    return arrow_rows(rows, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, bitmap array<long>, n int, runs array<long>", lambda: _sketcher(frequent, similar))
-
 
-def masks() -> list[tuple[int, ...]]:
-    """Coordinates of each table of a covering over minhash coordinates."""
-    return [tuple(g * WIDTH + i for i in c) for g in range(GROUPS) for c in combinations(range(WIDTH), AGREE)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHash()
+        for b in batches:
+            if len(table) > CACHE:
+                table.clear()
+            spoken = [word_runs(t) for t in b.column("text").to_pylist()]
+            kept = [i for i, w in enumerate(spoken) if len(w) >= LEAST_WORDS]
+            if not kept:
+                continue
+            sets = [shingle_hashes(spoken[i], table) for i in kept]
+            b = b.take(pa.array(kept))
+            x = np.concatenate(sets)
+            sizes = [len(s) for s in sets]
+            at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            hashed = _mixed(x)
+            bit, word = np.uint64(1) << (hashed & np.uint64(63)), (hashed >> np.uint64(6)) % np.uint64(BITMAP)
+            bitmap = np.stack([np.bitwise_or.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(BITMAP)], axis=1)
+            n, keys, packs = prefixes(sets, [FIELDS.index(f) for f in b.column("field").to_pylist()], order.value, similar)
+            ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(b.column(c) for c in ("elem_no", "id1", "id2", "field")),
+                    pa.array(np.add.reduceat(hashed, at).view(np.int64)),
+                    pa.array(np.bitwise_xor.reduceat(_mixed(hashed + _MIX[0]), at).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32()), pa.array(bitmap.view(np.int64).ravel())),
+                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(keys)),
+                    pa.ListArray.from_arrays(ends, pa.array(packs)),
+                ],
+                schema=_SKETCH,
+            )
+
+    return rows.mapInArrow(run, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, bitmap array<long>, n int, keys array<long>, packs array<long>")
 
 
 def node(field: str, elem_no: str) -> Column:
@@ -164,19 +204,39 @@ def number(c: str) -> Column:
     return F.expr(f"({c} - pmod({c}, {len(FIELDS)})) div {len(FIELDS)}").alias(c)
 
 
-def candidates(reps: DataFrame, similar: float) -> DataFrame:
-    """(a, b), a < b: representatives (node, n, runs) of one field that may be alike by similar.
+def bounded(df: DataFrame) -> DataFrame:
+    """A checkpoint that may be broadcast where it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def flat(sets: DataFrame) -> DataFrame:
+    """(node, key, pack) of (node, keys, packs): a row for each key."""
 
-    Every pair that is comes out: both sets have its first common run among those joined on.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, packs = b.column("keys"), b.column("packs")
+            nodes = np.repeat(b.column("node").to_numpy(), np.diff(keys.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), keys.flatten(), packs.flatten()], names=["node", "key", "pack"])
+
+    return sets.select("node", "keys", "packs").mapInArrow(run, "node long, key long, pack long")
+
+
+def candidates(sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b), a < b: distinct representatives (node, keys, packs) of one field that may be alike by similar.
+
+    Every pair that is comes out: some group covers it.  Pairs come hashed by a.
     """
-    own = F.pmod("node", F.lit(len(FIELDS)))
-    # n - at: runs of the set from this one on
-    rows = reps.select("node", "n", F.posexplode("runs").alias("at", "r")).select("node", "n", (F.col("n") - F.col("at")).alias("left"), F.xxhash64(own, "r").alias("run"))
+    rows = flat(sets)
     x, y = rows.alias("x"), rows.alias("y")
-    least = similar - 1e-9
-    enough = F.least("x.left", "y.left") * (1 + least) >= least * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, "run").where((F.col("x.node") < F.col("y.node")) & (F.expr(f"pmod(x.node - y.node, {len(FIELDS)})") == 0) & enough)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    size, left = (lambda s: F.expr(f"(shiftright({s}.pack, 8) & {MOST})")), (lambda s: F.expr(f"({s}.pack & {MOST})"))
+    total, least = size("x") + size("y"), similar - 1e-9
+    enough = F.least(left("x"), left("y")) * (1 + least) >= least * total
+    near = F.bit_count(F.shiftrightunsigned(F.expr("x.pack ^ y.pack"), 16)) * (1 + least) <= (1 - least) * total
+    told = (size("x") < MOST) & (size("y") < MOST)
+    one_field = F.expr(f"pmod(x.node - y.node, {len(FIELDS)})") == 0
+    pairs = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (~told | (enough & near)) & one_field)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).repartition("a").distinct()
 
 
 def _comparer():
@@ -203,20 +263,22 @@ def similar_pairs(fields: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
 
     fields (elem_no, id, field, text) is read twice: for the sets, and for the texts of the candidates.
     """
-    rows = cut(sketches(fields, similar))
     group = ["field", "h1", "h2"]
-    reps = rows.groupBy(*group).agg(F.min(F.struct("elem_no", "bitmap", "n", "runs")).alias("r")).select(node("field", "r.elem_no").alias("node"), "r.bitmap", "r.n", "r.runs")
+    rows = store(sketches(fields, similar))
     firsts = rows.groupBy(*group, "id1", "id2").agg(F.min("elem_no").alias("elem_no"))
-    members = firsts.join(firsts.groupBy(*group).agg(F.min("elem_no").alias("rep")), group).select("field", "rep", "elem_no")
-    met = candidates(reps.select("node", "n", "runs"), similar)
+    classes = rows.groupBy(*group).agg(F.min("elem_no").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    members = firsts.join(classes.select(*group, "rep"), group).select("field", "rep", "elem_no")
+    # rows that are not their class's first: only these leave the join, so nothing else is shuffled for it
+    copies = rows.select(*group, "elem_no").join(classes.where("rows > 1"), group).where("elem_no > rep").select(node("field", "elem_no").alias("node"))
+    reps = rows.withColumn("node", node("field", "elem_no")).join(bounded(copies), "node", "left_anti")
+    met = candidates(reps, similar)
     a, b = (reps.select(F.col("node").alias(c), F.col("bitmap").alias(f"bitmap_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(BITMAP)), F.lit(0))
     least = similar - 1e-9
-    near = met.join(a, "a").join(b, "b").where(differ * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b")))
-    near = cut(near.select(F.element_at(F.array(*map(F.lit, FIELDS)), F.pmod("a", F.lit(len(FIELDS))).cast("int") + 1).alias("field"), number("a"), number("b")))
-    ends = near.select("field", F.explode(F.array("a", "b")).alias("elem_no")).distinct()
-    texts = fields.select("field", "elem_no", "text").join(ends, ["field", "elem_no"]).dropDuplicates(["field", "elem_no"])
-    texts = cut(texts)
+    alike = differ * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b"))
+    near = cut(met.join(a, "a").join(b, "b").where(alike).select(F.element_at(F.array(*map(F.lit, FIELDS)), F.pmod("a", F.lit(len(FIELDS))).cast("int") + 1).alias("field"), number("a"), number("b")))
+    ends = bounded(near.select("field", F.explode(F.array("a", "b")).alias("elem_no")).distinct())
+    texts = cut(fields.select("field", "elem_no", "text").join(ends, ["field", "elem_no"]).dropDuplicates(["field", "elem_no"]))
     both = near.join(texts.select("field", F.col("elem_no").alias("a"), F.col("text").alias("text_a")), ["field", "a"]).join(
         texts.select("field", F.col("elem_no").alias("b"), F.col("text").alias("text_b")), ["field", "b"]
     )

@@ -153,7 +153,7 @@ def test_near_duplicates_equal_brute_force(spark, small):
                 both = len(sets[a] & sets[b])
                 if 2 * both >= len(sets[a] | sets[b]):
                     want.add((field, a, b))
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got == want
 
 
 def test_near_duplicates_near_one_half(spark):
@@ -177,14 +177,6 @@ def test_near_duplicates_near_one_half(spark):
     assert got == want and sum(0.5 <= s < 0.6 for s in both.values()) > 100
 
 
-def test_masks_cover():
-    masks = near_dups.masks()
-    for seed in range(200):
-        r = random.Random(seed)
-        differ = {g * near_dups.WIDTH + r.randrange(near_dups.WIDTH) for g in range(near_dups.GROUPS)}
-        assert any(not differ & set(m) for m in masks)
-
-
 def test_automaton_equals_brute_force():
     r = random.Random(3)
     words = {"".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(300)}
