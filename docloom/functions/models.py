@@ -14,18 +14,27 @@ DIMENSIONS = 64
 
 
 def hashing_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Unit vector of signed word counts by hash; JVM side.  Null and wordless texts have the zero vector."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    zero = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.lit(0.0))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    own = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.aggregate(
-            F.filter(hashed, lambda h: F.pmod(h, F.lit(dimensions)) == i), F.lit(0.0), lambda a, h: a + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        ),
-    )
-    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(own, lambda x: x / norm)).otherwise(zero).cast("array<float>")
+    """Unit vector of signed word counts by hash, in one pass over the words.  Null and wordless texts have the zero vector."""
+
+    def embed(texts: pd.Series) -> pd.Series:
+        import re
+
+        import numpy as np
+        import xxhash
+
+        word, known, out = re.compile(r"[^\W_]+"), {}, []
+        for t in texts:
+            v = np.zeros(dimensions)
+            for w in word.findall((t or "").lower()):
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = xxhash.xxh64_intdigest(w)
+                v[h % dimensions] += 1.0 if (h >> 32) % 2 == 0 else -1.0
+            n = np.sqrt((v * v).sum())
+            out.append((v / n if n else v).astype(np.float32))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(embed, "array<float>")(text)
 
 
 def leading_sentences(text: Column, n: int = 2) -> Column:
@@ -37,26 +46,35 @@ def generate(df: DataFrame, out: str, parts: list[str], model: Generate | None =
     """df with the model's answer to the text columns `parts` in column `out`, and the error in `out`_error.
 
     A failed batch is retried row by row, and a failed row keeps its error instead of ending the job.
+    concurrency is the number of calls that a task has open at a time; rows stay where they are.
     Without a model the answer is the leading sentences of the last non-null part.
     """
     if model is None:
         return df.withColumn(out, leading_sentences(F.coalesce(*(F.col(p) for p in reversed(parts))))).withColumn(f"{out}_error", F.lit(None).cast("string"))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
 
+    def ask(asked):
+        try:
+            return [(a, None) for a in model([system] * len(asked), asked)]
+        except Exception:  # noqa: BLE001
+            got = []
+            for a in asked:
+                try:
+                    got.append((model([system], [a])[0], None))
+                except Exception as e:  # noqa: BLE001
+                    got.append((None, str(e)[:500]))
+            return got
+
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        many = max(1, concurrency or 1)
         for b in batches:
             asked = [[str(x) for x in row if x is not None] for row in b[parts].itertuples(index=False)]
-            try:
-                answers, errors = model([system] * len(asked), asked), [None] * len(asked)
-            except Exception:  # noqa: BLE001
-                answers, errors = [], []
-                for a in asked:
-                    try:
-                        answers.append(model([system], [a])[0])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        answers.append(None)
-                        errors.append(str(e)[:500])
+            size = max(1, -(-len(asked) // many))
+            with ThreadPoolExecutor(many) as pool:
+                got = [g for part in pool.map(ask, [asked[i : i + size] for i in range(0, len(asked), size)]) for g in part]
+            answers, errors = [a for a, _ in got], [e for _, e in got]
             yield b.assign(**{out: pd.Series(answers, index=b.index, dtype=object), f"{out}_error": pd.Series(errors, index=b.index, dtype=object)})
 
-    return (df.repartition(concurrency) if concurrency else df).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

@@ -48,13 +48,16 @@ def greedy_hamming_sql(df: DataFrame, group: str, order: str, hash_: str, thresh
     return rows.select(group, F.col("k.o").alias(order), F.col("k.h").alias(hash_))
 
 
-def hamming_pairs(df: DataFrame, group: str, key: str, hash_: str, threshold: int, bands: int = 8) -> DataFrame:
+def hamming_pairs(df: DataFrame, group: str, key: str, hash_: str, threshold: int, bands: int | None = None) -> DataFrame:
     """(group, a, b, distance) of all pairs of a group within threshold bits, a before b.
 
     Below `bands` differing bits two hashes share one of `bands` bands, so they meet on group, band and
     its value; from there on the threshold is split: bands are compared by all values within
-    threshold // bands bits of theirs.
+    threshold // bands bits of theirs.  Wide bands prune most as long as few values are near one: four
+    of 16 bits, met by 137 values each, leave 0.8 % of unlike pairs at a threshold of 8 to 11; from 12 on
+    eight narrower ones are used, which leave more the higher the threshold is.
     """
+    bands = bands or (4 if threshold < 12 else 8)
     width, radius = 64 // bands, threshold // bands
     masks = [m for m in range(1 << width) if bin(m).count("1") <= radius]
     band = lambda i: F.shiftrightunsigned(F.col(hash_), i * width).bitwiseAND((1 << width) - 1)

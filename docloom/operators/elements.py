@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, token_count
+from ..functions.text import central_crop, strip, token_count
 from .running import running_sum
 
 
@@ -39,23 +39,34 @@ def first_item(items: DataFrame, condition: Column) -> DataFrame:
     return items.where(condition).groupBy("filename").agg(best).select("r.*")
 
 
-def pack_chunks(items: DataFrame, budget: int, count: Callable[[str], int] | None = None) -> DataFrame:
+def split_items(items: DataFrame, budget: int) -> DataFrame:
+    """Items with those of more than budget tokens cut into runs of budget tokens, in order; the runs of an item share its seq."""
+    t = F.split(F.coalesce("text", F.lit("")), " ")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / budget).cast("int")), lambda i: F.array_join(F.slice(t, i * budget + 1, F.lit(budget)), " "))
+    rest = [c for c in items.columns if c != "text"]
+    return items.select(*rest, F.posexplode(runs).alias("part", "text"))
+
+
+def pack_chunks(items: DataFrame, budget: int, count: Callable[[str], int] | None = None, headings: bool = False) -> DataFrame:
     """(filename, chunk_no, first_seq, last_seq, n_tokens, text): items packed greedily, in order, up to the budget.
 
-    An item above the budget is a chunk of its own.  Documents are sorted inside partitions and
+    An item above the budget is a chunk of its own (see split_items).  With headings a chunk also ends
+    before each item labelled as one.  Documents are sorted inside partitions and
     read as a stream, so a document of any length is never held whole.
     """
     many = count or (lambda t: len(t.split(" ")))
-    ordered = items.select("filename", F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text")).repartition("filename").sortWithinPartitions("filename", "seq")
+    heads = F.lower(F.coalesce("label", F.lit(""))).isin("title", "section_header") if headings else F.lit(False)
+    part = F.col("part") if "part" in items.columns else F.lit(0)
+    ordered = items.select("filename", F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"), heads.alias("head"), part.alias("part")).repartition("filename").sortWithinPartitions("filename", "seq", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("filename", "chunk_no", "first_seq", "last_seq", "n_tokens", "text")
         started, open_ = False, None
         for b in batches:
             out = []
-            for name, seq, text in zip(b["filename"], b["seq"], b["text"]):
+            for name, seq, text, head in zip(b["filename"], b["seq"], b["text"], b["head"]):
                 n = many(text)
-                if not started or name != open_[0] or open_[4] + n > budget:
+                if not started or name != open_[0] or open_[4] + n > budget or head:
                     if started:
                         out.append((*open_[:5], "\n".join(open_[5])))
                     open_ = [name, open_[1] + 1 if started and name == open_[0] else 0, seq, seq, n, [text]]
@@ -70,45 +81,50 @@ def pack_chunks(items: DataFrame, budget: int, count: Callable[[str], int] | Non
     return ordered.mapInPandas(run, "filename string, chunk_no long, first_seq long, last_seq long, n_tokens long, text string")
 
 
-def context_spans(items: DataFrame, targets: Column, budget: int) -> DataFrame:
-    """(filename, seq, tok, prev_n, prev_tokens, next_n, next_tokens) of each target item with less than budget tokens.
+def with_chunk_metadata(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """Chunks with the metadata of their items: pages and boxes of all of them, in order."""
+    own = items.select("filename", F.col("seq").cast("long").alias("seq"), "prov").dropDuplicates(["filename", "seq"])
+    each = chunks.select("filename", "chunk_no", F.explode(F.sequence("first_seq", "last_seq")).alias("seq")).join(own, ["filename", "seq"])
+    grouped = each.groupBy("filename", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("seq", "prov"))).alias("items"))
+    return chunks.join(grouped.select("filename", "chunk_no", chunk_metadata(F.col("filename"), F.col("items")).alias("metadata")), ["filename", "chunk_no"], "left")
 
-    Neighbours before it are taken nearest first while they fit into half of what is left, then those
-    after it while they fit into the rest; either side ends at the first that doesn't fit.  With
-    running sums both are ranges of positions.  As each neighbour taken costs its tokens, at most
-    `budget` neighbours with tokens can stand on a side, so targets and items meet in buckets of the
-    running sum, a document's length aside; items without tokens cost nothing and are taken with them.
-    """
-    counted = items.withColumn("tok", token_count(F.coalesce("text", F.lit(""))))
-    cum = running_sum(counted, "filename", "seq", F.col("tok"), "cum")
-    cum = cum.withColumn("bucket", F.floor(F.col("cum") / budget))
-    t = cum.where(targets & (F.col("tok") < budget)).select("filename", F.col("seq").alias("tseq"), F.col("tok").alias("ttok"), F.col("cum").alias("tcum"), "bucket")
-    t = t.withColumn("rem", budget - F.col("ttok")).withColumn("half", F.expr("rem div 2"))
-    near = F.explode(F.array(F.col("bucket") - 2, F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1, F.col("bucket") + 2))
-    c = cum.select("filename", "seq", "tok", "cum", "bucket")
-    around = t.withColumn("bucket", near).join(c, ["filename", "bucket"])
-    before = (F.col("seq") < F.col("tseq")) & (F.expr("(tcum - ttok) - (cum - tok) <= half AND (tcum - ttok) - cum < half"))
-    prev = around.where(before).groupBy("filename", "tseq").agg(F.sum("tok").alias("pt"), F.count("seq").alias("pn"))
-    t2 = t.join(prev, ["filename", "tseq"], "left").fillna(0, ["pt", "pn"])
-    after = t2.withColumn("bucket", near).join(c, ["filename", "bucket"]).where("seq > tseq AND cum - tcum <= rem - pt AND (cum - tok - tcum) + pt < rem")
-    nxt = after.groupBy("filename", "tseq").agg(F.sum("tok").alias("nt"), F.count("seq").alias("nn"))
-    return (
-        t2.join(nxt, ["filename", "tseq"], "left")
-        .fillna(0, ["nt", "nn"])
-        .select("filename", F.col("tseq").alias("seq"), F.col("ttok").alias("tok"), F.col("pn").alias("prev_n"), F.col("pt").alias("prev_tokens"), F.col("nn").alias("next_n"), F.col("nt").alias("next_tokens"))
-    )
 
+def context(items: DataFrame, targets: Column, budget: int, tok: Column | None = None, crop: Column | None = None) -> DataFrame:
+    """(filename, seq, tok, prev_n, prev_tokens, next_n, next_tokens, context) of each target item.
 
-def context_text(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """(filename, seq, context): texts before, target and texts after, by line, stripped.  A span has budget items with tokens on a side at most."""
-    placed = running_sum(items.select("filename", "seq", F.coalesce("text", F.lit("")).alias("text")), "filename", "seq", F.lit(1).cast("long"), "pos")
-    at = spans.join(placed.select("filename", "seq", "pos"), ["filename", "seq"])
-    wanted = at.select("filename", F.col("seq").alias("tseq"), F.col("pos").alias("tpos"), F.explode(F.sequence(F.col("pos") - F.col("prev_n"), F.col("pos") + F.col("next_n"))).alias("pos"))
-    parts = wanted.join(placed.select("filename", "pos", "text"), ["filename", "pos"])
-    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "text")))), lambda x: x["text"]), "\n")
-    texts = parts.groupBy("filename", "tseq").agg(
-        side(F.col("pos") < F.col("tpos")).alias("p"), F.max(F.when(F.col("pos") == F.col("tpos"), F.col("text"))).alias("t"), side(F.col("pos") > F.col("tpos")).alias("n"), F.max(F.expr("pos < tpos")).alias("has_p"), F.max(F.expr("pos > tpos")).alias("has_n")
-    )
-    head = F.when(F.col("has_p"), F.concat("p", F.lit("\n"))).otherwise(F.lit(""))
-    tail = F.when(F.col("has_n"), F.concat(F.lit("\n"), "n")).otherwise(F.lit(""))
-    return texts.select("filename", F.col("tseq").alias("seq"), strip(F.concat(head, F.lit("\n"), "t", F.lit("\n"), tail)).alias("context"))
+    Neighbours before it are taken nearest first while they fit into half of what the target leaves of
+    the budget, then those after it while they fit into the rest; either side ends at the first that
+    doesn't fit.  The context is the texts before, the target and the texts after, by line, stripped.  A
+    target that leaves nothing has no neighbours: its context is its own middle, `budget` tokens of it.
+
+    tok counts the tokens of `text` and crop gives its middle, by spaces where no other tokenizer is given.  With
+    running sums both sides are ranges, and as each neighbour costs its tokens, at most `budget`
+    neighbours with tokens stand on a side: targets and items meet in buckets of the running sum,
+    a document's length aside.
+    """
+    own = F.coalesce("text", F.lit(""))
+    counted = items.select("filename", "seq", own.alias("text"), targets.alias("is_target")).withColumn("tok", token_count(F.col("text")) if tok is None else tok.cast("long"))
+    cum = running_sum(counted, "filename", "seq", F.col("tok"), "cum").withColumn("bucket", F.floor(F.col("cum") / budget))
+    t = cum.where(F.col("is_target") & (F.col("tok") < budget)).select("filename", F.col("seq").alias("tseq"), F.col("tok").alias("ttok"), F.col("cum").alias("tcum"), "bucket")
+    t = t.withColumn("rem", budget - F.col("ttok")).withColumn("half", F.expr("rem div 2"))
+    t = t.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2)))
+    before = F.expr("seq < tseq AND (tcum - ttok) - (cum - tok) <= half AND (tcum - ttok) - cum < half")
+    after = F.expr("seq > tseq AND cum - tcum <= rem AND cum - tok - tcum < rem")
+    met = t.join(cum.select("filename", "seq", "tok", "cum", "text", "bucket"), ["filename", "bucket"]).where(before | after | F.expr("seq = tseq"))
+    some = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("seq", "tok", (F.col("cum") - F.col("tcum")).alias("upto"), "text"))))
+    both = met.groupBy("filename", "tseq", "ttok", "rem").agg(some(before).alias("prev"), some(after).alias("later"), F.max(F.when(F.expr("seq = tseq"), F.col("text"))).alias("text"))
+    tokens_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["tok"])
+    both = both.withColumn("prev_tokens", tokens_of(F.col("prev")))
+    left = F.col("rem") - F.col("prev_tokens")
+    both = both.withColumn("next", F.filter("later", lambda x: (x["upto"] <= left) & (x["upto"] - x["tok"] < left)))
+    lines = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "\n")
+    head = F.when(F.size("prev") > 0, F.concat(lines("prev"), F.lit("\n"))).otherwise(F.lit(""))
+    tail = F.when(F.size("next") > 0, F.concat(F.lit("\n"), lines("next"))).otherwise(F.lit(""))
+    near = both.select(
+        "filename", F.col("tseq").alias("seq"), F.col("ttok").alias("tok"), F.size("prev").cast("long").alias("prev_n"), "prev_tokens", F.size("next").cast("long").alias("next_n"),
+        tokens_of(F.col("next")).alias("next_tokens"), strip(F.concat(head, F.lit("\n"), "text", F.lit("\n"), tail)).alias("context"),
+    )
+    none = [F.lit(0).cast("long").alias(c) for c in ("prev_n", "prev_tokens", "next_n", "next_tokens")]
+    middle = central_crop(F.col("text"), budget, budget) if crop is None else crop
+    full = counted.where(F.col("is_target") & (F.col("tok") >= budget)).select("filename", "seq", "tok", *none, middle.alias("context"))
+    return near.unionByName(full)

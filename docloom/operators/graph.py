@@ -100,21 +100,44 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     labels = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
 
 
 def label_propagation(edges_: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): each round a node takes its neighbours' commonest label, ties to the smaller one."""
+    """(node, community): each round a node takes the commonest label of its neighbours and its own, ties to the smaller one.
+
+    Its own label votes too, so two sides of a bipartite graph don't swap labels for ever; ends where no label changes,
+    after `rounds` at the latest.
+    """
     two = cut(both_ways(edges_))
     labels = two.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
-        votes = two.join(labels, two["dst"] == labels["node"]).groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"))
-        labels = cut(best.select(F.col("src").alias("node"), F.col("b.community").alias("community")))
+        votes = two.join(labels, two["dst"] == labels["node"]).select("src", "community").unionByName(labels.select(F.col("node").alias("src"), "community"))
+        counted = votes.groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
+        best = counted.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"))
+        new = cut(best.select(F.col("src").alias("node"), F.col("b.community").alias("community")))
+        changed = not new.join(labels.withColumnRenamed("community", "before"), "node").where("community <> before").isEmpty()
+        labels = new
+        if not changed:
+            break
     return labels
 
 
+def community_facts(edges_: DataFrame, communities: DataFrame, most: int = 50) -> DataFrame:
+    """(community, n_nodes, n_edges, facts): the facts inside each community by weight, as many as a prompt shall hold."""
+    c = lambda end: communities.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    inside = edges_.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst").withColumn("community", F.col("c_src"))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("weight"), "src", "rel", "dst"))
+    fact = F.concat_ws(" ", "src", "rel", "dst")
+    top = inside.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", fact.alias("f")))), lambda x: x["f"]), "\n").alias("facts"))
+    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"))
+    edges_in = inside.groupBy("community").agg(F.count(F.lit(1)).alias("n_edges"))
+    return sizes.join(edges_in, "community", "left").join(top, "community", "left").select("community", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("facts", F.lit("")).alias("facts"))
+
+
 def resolve_names(names: DataFrame, name: str, distance: int = 2) -> DataFrame:
     """(a, b, distance) of distinct names within `distance` edits: they share one of distance + 1 parts at nearly its place, so candidates meet on parts."""
     parts = distance + 1

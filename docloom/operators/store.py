@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import element_id
@@ -43,13 +43,24 @@ def vector_rows(records: DataFrame, embed: Column | None = None) -> DataFrame:
     return records.select(F.col("id").alias("doc_id"), "type", F.col("description").alias("page_content"), "metadata", vector.alias("embedding"))
 
 
-def insert(spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, order: str | None = None) -> None:
-    """Append what is new to both stores.  Records go first and vectors are derived from both keys, so a crash between the two is repaired by the next run."""
+def insert(spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, order: str | None = None, embed: Column | None = None) -> dict[str, int]:
+    """Append what is new to both stores, and say how many rows each got.
+
+    Records go first and vectors are derived from both keys, so a crash between the two is repaired by the
+    next run.  Rows are counted while they are written.  embed makes a vector of `description`.
+    """
     records = new_rows(elements, open_store(spark, doc_path), order).select("content", "id", "context", "description", "type", "metadata")
-    records.write.mode("append").parquet(doc_path)
+    added = {"records": _append(records, doc_path), "vectors": 0}
     stored = spark.read.parquet(doc_path)
     if vector_path:
         from ..sources.readers import open_vectors
 
         have = open_vectors(spark, vector_path).select(F.col("doc_id").alias("id"))
-        vector_rows(stored.join(have, "id", "left_anti")).write.mode("append").parquet(vector_path)
+        added["vectors"] = _append(vector_rows(stored.join(have, "id", "left_anti"), embed), vector_path)
+    return added
+
+
+def _append(rows: DataFrame, path: str) -> int:
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(seen.get["n"])

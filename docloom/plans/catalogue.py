@@ -145,14 +145,14 @@ _SPANS = f"""it AS ({_ITEMS}), tk AS (SELECT *, len(string_split(text, ' ')) AS
       AND c.cum - tcum <= rem - pt AND (c.cum - c.tok - tcum) + pt < rem GROUP BY ALL)"""
 
 
-def _context(spark, d) -> tuple[DataFrame, DataFrame]:
-    i = _items(spark, d)
-    return i, elements.context_spans(i, F.lower("label").isin("table", "picture"), 256)
+def _context(spark, d) -> DataFrame:
+    return elements.context(_items(spark, d), F.lower("label").isin("table", "picture"), 256)
 
 
-@query(f"""WITH {_SPANS} SELECT filename, tseq AS seq, CAST(ttok AS BIGINT) AS tok, CAST(pn AS BIGINT) AS prev_n, CAST(pt AS BIGINT) AS prev_tokens, CAST(nn AS BIGINT) AS next_n, CAST(nt AS BIGINT) AS next_tokens FROM nxt""")
+@query(f"""WITH {_SPANS} SELECT filename, tseq AS seq, CAST(ttok AS BIGINT) AS tok, CAST(pn AS BIGINT) AS prev_n, CAST(pt AS BIGINT) AS prev_tokens, CAST(nn AS BIGINT) AS next_n, CAST(nt AS BIGINT) AS next_tokens FROM nxt
+    UNION ALL SELECT filename, seq, tok, 0, 0, 0, 0 FROM c WHERE lower(label) IN ('table', 'picture') AND tok >= 256""")
 def context_window(spark, d):
-    return _context(spark, d)[1]
+    return _context(spark, d).drop("context")
 
 
 @query(f"""WITH {_SPANS}, pos AS (SELECT filename, seq, text, row_number() OVER (PARTITION BY filename ORDER BY seq) AS p FROM it),
@@ -160,9 +160,18 @@ def context_window(spark, d):
     SELECT sp.filename, tseq AS seq, regexp_replace(regexp_replace(
       coalesce(string_agg(text, chr(10) ORDER BY p) FILTER (p < tp) || chr(10), '') || chr(10) || max(text) FILTER (p = tp) || chr(10) || coalesce(chr(10) || string_agg(text, chr(10) ORDER BY p) FILTER (p > tp), ''),
       '^\\s+', ''), '\\s+$', '') AS context
-    FROM sp JOIN pos ON pos.filename = sp.filename AND p BETWEEN tp - pn AND tp + nn GROUP BY sp.filename, tseq""")
+    FROM sp JOIN pos ON pos.filename = sp.filename AND p BETWEEN tp - pn AND tp + nn GROUP BY sp.filename, tseq
+    UNION ALL SELECT filename, seq, array_to_string(list_slice(string_split(text, ' '), (tok - 256) // 2 + 1, (tok - 256) // 2 + 256), ' ') FROM c WHERE lower(label) IN ('table', 'picture') AND tok >= 256""")
 def context_text(spark, d):
-    return elements.context_text(*_context(spark, d))
+    return _context(spark, d).select("filename", "seq", "context")
+
+
+@query(r"""WITH i AS (SELECT doc_id, text, len(string_split(text, ' ')) AS tok FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, tok, CASE WHEN tok < 32 THEN regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') ELSE array_to_string(list_slice(string_split(text, ' '), (tok - 32) // 2 + 1, (tok - 32) // 2 + 32), ' ') END AS context FROM i""")
+def context_oversize(spark, d):
+    """Documents as targets that stand alone: those of 32 tokens or more are cut to their middle."""
+    i = read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("filename"), F.lit(0).alias("seq"), "text")
+    return elements.context(i, F.lit(True), 32).select(F.col("filename").alias("doc_id"), "tok", "context")
 
 
 @query("""SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 128 THEN array_to_string(list_slice(string_split(text, ' '), (len(string_split(text, ' ')) - 64) // 2 + 1, (len(string_split(text, ' ')) - 64) // 2 + 64), ' ') ELSE text END AS crop FROM documents""")
@@ -170,7 +179,10 @@ def central_crop(spark, d):
     return read(spark, d, "documents").select("doc_id", text.central_crop(F.col("text"), 64, 128).alias("crop"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT filename, CAST(seq AS BIGINT) AS seq, text, len(string_split(text, ' ')) AS tok, row_number() OVER (PARTITION BY filename ORDER BY seq) AS p FROM ({_ITEMS})),
+    w AS (SELECT filename, p, seq, text, tok, CAST(0 AS BIGINT) AS chunk_no, CAST(tok AS BIGINT) AS used FROM n WHERE p = 1
+      UNION ALL SELECT n.filename, n.p, n.seq, n.text, n.tok, CASE WHEN w.used + n.tok > 128 THEN w.chunk_no + 1 ELSE w.chunk_no END, CASE WHEN w.used + n.tok > 128 THEN n.tok ELSE w.used + n.tok END FROM w JOIN n ON n.filename = w.filename AND n.p = w.p + 1)
+    SELECT filename, chunk_no, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(tok) AS BIGINT) AS n_tokens, string_agg(text, chr(10) ORDER BY p) AS text FROM w GROUP BY filename, chunk_no""")
 def chunk_pack(spark, d):
     return elements.pack_chunks(_items(spark, d), 128)
 
@@ -191,6 +203,12 @@ def hash_hamming_pairs(spark, d):
     return dedup.hamming_pairs(_hashes(spark, d), "label", "vec_id", "h", 20)
 
 
+@query(f"""WITH e AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)
+    SELECT a.label, a.vec_id AS a, b.vec_id AS b, CAST(hamming(a.h, b.h) AS BIGINT) AS distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND hamming(a.h, b.h) <= 11""")
+def hash_hamming_near(spark, d):
+    return dedup.hamming_pairs(_hashes(spark, d), "label", "vec_id", "h", 11)
+
+
 @query(f"""WITH e AS (SELECT label, list({{'id': vec_id, 'h': {_BITS}}} ORDER BY vec_id) AS l FROM embeddings GROUP BY label),
     k AS (SELECT label, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: hamming(y.h, x.h) <= 24)) > 0 THEN acc ELSE list_append(acc, x) END, []::STRUCT(id BIGINT, h VARCHAR)[]) AS kept FROM e)
     SELECT label, u.id AS vec_id FROM (SELECT label, unnest(kept) AS u FROM k)""")
@@ -277,7 +295,11 @@ def table_triples(spark, d):
     return triples.table_triples(read(spark, d, "part"), "p_name", ["p_brand", "p_type", "p_size"]).select("head", "relation", "tail")
 
 
-@query()
+@query(r"""WITH l AS (SELECT elem_no, list_filter(regexp_split_to_array(content, '\r?\n'), lambda x: starts_with(trim(x), '|')) AS lines FROM elements WHERE type = 'table'),
+    c AS (SELECT elem_no, list_filter(list_transform(lines, lambda x: list_transform(string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|'), lambda y: trim(y))), lambda r: len(list_filter(r, lambda y: NOT regexp_full_match(y, ':?-{2,}:?'))) > 0) AS rows FROM l),
+    b AS (SELECT elem_no, rows[1] AS header, i - 1 AS row_no, rows[i + 1] AS row FROM c, unnest(range(1, len(rows))) AS u(i)),
+    t AS (SELECT elem_no, row_no, row[1] AS head, upper(regexp_replace(regexp_replace(header[j], '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')) AS relation, row[j] AS tail FROM b, unnest(range(2, greatest(len(header), len(row)) + 1)) AS u(j))
+    SELECT * FROM t WHERE coalesce(lower(head), '') NOT IN ('', '-', 'n/a', 'na', 'null', 'none') AND coalesce(lower(tail), '') NOT IN ('', '-', 'n/a', 'na', 'null', 'none') AND relation <> ''""")
 def markdown_triples(spark, d):
     return triples.markdown_triples(read(spark, d, "elements").where("type = 'table'"), "elem_no")
 
@@ -386,6 +408,30 @@ def communities(spark, d):
 
 
 @query()
+def community_summaries(spark, d):
+    from .pipelines import summarise_communities
+
+    return summarise_communities(graph.edges(read(spark, d, "triples")), 3)
+
+
+@query()
+def picture_hashes(spark, d):
+    from ..functions import images
+
+    return read(spark, d, "elements").where("type = 'image'").select("elem_no", images.perceptual_hash(F.col("content")).alias("hash"), F.length(images.from_base64(F.col("content"))).alias("n_bytes"))
+
+
+@query("SELECT elem_no, CAST(octet_length(try(from_base64(content))) AS BIGINT) AS n_bytes FROM elements WHERE type = 'image' AND regexp_full_match(content, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?')")
+def picture_bytes(spark, d):
+    from ..functions import images
+
+    own = read(spark, d, "elements").where("type = 'image'").where(F.col("content").rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
+    return own.select("elem_no", F.length(images.from_base64(F.col("content"))).cast("long").alias("n_bytes"))
+
+
+@query(f"""WITH n AS (SELECT node, arg_max(type, (CASE WHEN type IS NULL THEN 0 ELSE 1 END, n, -length(type), type)) AS type FROM (SELECT node, type, count(*) AS n FROM {_ENDS} GROUP BY ALL) GROUP BY node)
+    SELECT '{{"id":' || to_json(node) || ',"label":' || to_json(node) || coalesce(',"group":' || to_json(type) || ',"title":' || to_json(type), '') || '}}' AS json, 'node' AS kind FROM n
+    UNION ALL SELECT '{{"from":' || to_json(head) || ',"to":' || to_json(tail) || ',"label":' || to_json(relation) || ',"arrows":"to"}}', 'edge' FROM (SELECT DISTINCT head, relation, tail FROM {_T})""")
 def kg_render(spark, d):
     t = read(spark, d, "triples")
     n, e = graph.render(graph.nodes(t), graph.edges(t))

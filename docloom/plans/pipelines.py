@@ -5,31 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..functions.models import Generate, generate
 from ..operators import elements as el
-from ..operators import graph, rag, search, store, triples
+from ..operators import dedup, graph, rag, search, store, triples
 from ..sources.readers import open_store
 from . import prompts
 
 
-def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 512) -> DataFrame:
-    """Text chunks, tables and pictures of ordered items as elements with context and metadata."""
+def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 512, threshold: int = 10, table_text: Column | None = None) -> DataFrame:
+    """Text chunks, tables and pictures of ordered items as elements with context and metadata.
+
+    Tables stand in the text chunks too, as they are read in order.  table_text says how a table is
+    written, by default as its text.  Items may have a column `image` (base64): a picture's content, by which pictures
+    of a file within threshold bits of an earlier one, by perceptual hash, are left out.
+    """
     items = items.dropDuplicates(["filename", "seq"])
-    chunks = el.pack_chunks(items.where(~F.lower(F.coalesce("label", F.lit(""))).isin("table", "picture")), budget).select(
-        "filename", F.col("text").alias("content"), F.lit("").alias("context"), F.lit("text").alias("type"), F.to_json(F.struct("filename", "first_seq", "last_seq")).alias("metadata")
-    )
-    spans = el.context_spans(items, F.lower("label").isin("table", "picture"), context_budget)
-    context = el.context_text(items, spans)
-    kinds = F.when(F.lower("label") == "table", "table").otherwise("image")
-    others = items.where(F.lower("label").isin("table", "picture")).join(context, ["filename", "seq"], "left")
-    others = others.select("filename", F.col("text").alias("content"), F.coalesce("context", F.lit("")).alias("context"), kinds.alias("type"), F.to_json(el.metadata(F.col("filename"), F.col("prov"))).alias("metadata"))
-    return chunks.unionByName(others)
-
-
-def summarise(elements: DataFrame, models: dict[str, Generate] | None = None) -> DataFrame:
+    if table_text is not None:
+        items = items.withColumn("text", F.when(F.lower("label") == "table", table_text).otherwise(F.col("text")))
+    label = F.lower(F.coalesce("label", F.lit("")))
+    parts = el.pack_chunks(el.split_items(items.where(label != "picture"), budget), budget, headings=True)
+    chunks = el.with_chunk_metadata(parts, items).select("filename", F.col("text").alias("content"), F.lit("").alias("context"), F.lit("text").alias("type"), F.to_json("metadata").alias("metadata"))
+    near = el.context(items, label.isin("table", "picture"), context_budget).select("filename", "seq", "context")
+    kinds = F.when(label == "table", "table").otherwise("image")
+    others = items.where(label.isin("table", "picture"))
+    image = F.lit(None).cast("string")
+    if "image" in items.columns:
+        pictures = others.where(label == "picture").withColumn("hash", images.perceptual_hash(F.col("image")))
+        seen = dedup.greedy_hamming(pictures.where("hash IS NOT NULL"), "filename", "seq", "hash", threshold)
+        gone = pictures.where("hash IS NOT NULL").select("filename", "seq").join(seen, ["filename", "seq"], "left_anti")
+        others, image = others.join(gone, ["filename", "seq"], "left_anti"), F.when(label == "picture", F.col("image"))
+    others = others.join(near, ["filename", "seq"], "left")
+    others = others.select("filename", F.coalesce(image, F.col("text")).alias("content"), F.coalesce("context", F.lit("")).alias("context"), kinds.alias("type"), F.to_json(el.metadata(F.col("filename"), F.col("prov"))).alias("metadata"))
+    # a chunk that is one table and no more is that table's element
+    return chunks.join(others.select("filename", "content"), ["filename", "content"], "left_anti").unionByName(others)
+
+
+def summarise(elements: DataFrame, models: dict[str, Generate] | None = None, systems: dict[str, str] | None = None) -> DataFrame:
     """Elements with a description by the model of their type; texts are summarised without context, unknown types as texts."""
     kind, out = F.coalesce("type", F.lit("text")), None
-    for name, system in prompts.SUMMARY.items():
+    for name, system in (prompts.SUMMARY | (systems or {})).items():
         mine = elements.where(kind == name if name != "text" else ~kind.isin("table", "image"))
         parts = ["content"] if name == "text" else ["context", "content"]
         got = generate(mine, "description", parts, (models or {}).get(name), system)
@@ -37,11 +52,16 @@ def summarise(elements: DataFrame, models: dict[str, Generate] | None = None) ->
     return out
 
 
-def populate(spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, models: dict[str, Generate] | None = None) -> None:
-    """Summarise and store what is new; stored elements never reach a model, and what a model fails on is left for the next run."""
+def populate(
+    spark: SparkSession, elements: DataFrame, doc_path: str, vector_path: str, models: dict[str, Generate] | None = None, embed: Column | None = None, systems: dict[str, str] | None = None
+) -> dict[str, int]:
+    """Summarise and store what is new, and say how much that was.
+
+    Stored elements never reach a model, and what a model fails on is left for the next run.
+    """
     fresh = store.new_rows(store.with_ids(elements), open_store(spark, doc_path))
-    described = summarise(fresh, models).where("description_error IS NULL")
-    store.insert(spark, described, doc_path, vector_path)
+    described = summarise(fresh, models, systems).where("description_error IS NULL")
+    return store.insert(spark, described, doc_path, vector_path, embed=embed)
 
 
 def graph_answers(questions: DataFrame, rows: DataFrame, model: Generate | None = None) -> DataFrame:
@@ -63,14 +83,25 @@ def answer_questions(questions: DataFrame, vectors: DataFrame, records: DataFram
     return rag.answer(rag.prompts(questions.select("qid", "question"), found), model)
 
 
-def build_graph(elements: DataFrame, models: dict[str, Generate]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and mentions of what the models extract; tables without a model give their triples by rule."""
-    raw = triples.explode_triples(triples.extract(elements, models)).withColumnRenamed("id", "doc_id")
+def build_graph(elements: DataFrame, models: dict[str, Generate], systems: dict[str, str] | None = None, kinds: list[tuple[str, str, str]] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and mentions of what the models extract; tables without a model give their triples by rule.
+
+    Models are asked by the prompts of EXTRACTION or the caller's; kinds (head type, relation, tail type), such as a
+    graph's schema_summary gives, are put into them.
+    """
+    asked = {k: prompts.with_schema(v, list(kinds)) for k, v in (prompts.EXTRACTION | (systems or {})).items()}
+    raw = triples.explode_triples(triples.extract(elements, models, asked)).withColumnRenamed("id", "doc_id")
     if "table" not in models:
         rule = triples.markdown_triples(elements.where("type = 'table'"), "id").withColumnRenamed("id", "doc_id").drop("row_no")
         raw = raw.unionByName(rule.withColumns({"head_type": F.lit("ENTITY"), "tail_type": F.lit("VALUE"), "confidence": F.lit(1.0)}), allowMissingColumns=True)
     return graph.nodes(raw), graph.edges(raw), graph.mentions(raw)
 
 
+def summarise_communities(edges: DataFrame, rounds: int = 5, model: Generate | None = None, most: int = 50) -> DataFrame:
+    """(community, n_nodes, n_edges, facts, summary) of the communities of a graph."""
+    facts = graph.community_facts(edges, graph.label_propagation(edges, rounds), most)
+    return generate(facts, "summary", ["facts"], model, prompts.COMMUNITY).drop("summary_error")
+
+
 def filename(metadata: str = "metadata") -> Column:
     return F.coalesce(F.get_json_object(metadata, "$.filename"), F.lit("unknown"))

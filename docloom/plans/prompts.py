@@ -10,5 +10,13 @@ EXTRACTION = {
     "table": "List the facts of the table as triples: first column, column header, cell, with units; leave out empty cells.",
     "image": "List the parts of the diagram and how they are connected as directed triples.",
 }
+#: Added to an extraction prompt where the kinds of triples are known.
+ALLOWED = "Use these kinds of triples where they fit:"
+COMMUNITY = "Say in a few sentences what the facts below are about, and which entities matter most."
 GRAPH_ANSWER = "Answer the question from the rows found in the graph and from nothing else."
 NOT_KNOWN = "I don't know."
+
+
+def with_schema(system: str, kinds: list[tuple[str, str, str]]) -> str:
+    """An extraction prompt that lists the kinds of triples (head type, relation, tail type) wanted."""
+    return "\n".join([system, ALLOWED, *(f"({h})-[{r}]->({t})" for h, r, t in kinds)]) if kinds else system

@@ -30,7 +30,7 @@ def test_communities_of_all_nodes(spark, small):
         near.setdefault(r["src"], []).append(r["dst"])
     labels = {n: n for n in near}
     for _ in range(3):
-        votes = {n: Counter(labels[m] for m in around) for n, around in near.items()}
+        votes = {n: Counter([labels[n], *(labels[m] for m in around)]) for n, around in near.items()}
         labels = {n: min(v, key=lambda x: (-v[x], x.encode())) for n, v in votes.items()}
     got = {r["node"]: r["community"] for r in QUERIES["communities"](spark, small).collect()}
     assert got == labels and set(got) == {r[s] for r in t for s in ("head", "tail")}

@@ -30,7 +30,8 @@ def expected_context(lines, at, budget):
     texts, n = [t for _, t in lines], [len(t.split(" ")) for _, t in lines]
     left = budget - n[at]
     if left <= 0:
-        return None
+        words = lines[at][1].split(" ")
+        return " ".join(words[(len(words) - budget) // 2 :][:budget])
     back = [s for s in accumulate(reversed(n[:at])) if s <= left // 2]
     ahead = [s for s in accumulate(n[at + 1 :]) if s <= left - max(back, default=0)]
     before, after = texts[at - len(back) : at], texts[at + 1 : at + 1 + len(ahead)]
@@ -41,9 +42,8 @@ def expected_context(lines, at, budget):
 def test_context_equals_running_sums(spark, budget):
     docs = some_docs(budget)
     items = items_of(spark, docs)
-    spans = elements.context_spans(items, F.col("label").isin("table", "picture"), budget)
-    got = {(r["filename"], r["seq"]): r["context"] for r in elements.context_text(items, spans).collect()}
-    want = {(f, i): c for f, lines in docs.items() for i, (lab, _) in enumerate(lines) if lab != "text" and (c := expected_context(lines, i, budget)) is not None}
+    got = {(r["filename"], r["seq"]): r["context"] for r in elements.context(items, F.col("label").isin("table", "picture"), budget).collect()}
+    want = {(f, i): expected_context(lines, i, budget) for f, lines in docs.items() for i, (lab, _) in enumerate(lines) if lab != "text"}
     assert got == want
 
 
@@ -192,3 +192,72 @@ def test_prompt_and_search(spark):
     assert p[1]["messages"][1]["parts"][1]["url"] == "data:image/png;base64,aGk="
     assert p[2]["prompt"] == "Context:\n\n\nQuestion: Who?"
     assert store.with_ids(spark.createDataFrame([("c", "f")], "content string, filename string")).first()["id"]
+
+
+def test_pictures(spark):
+    import zlib
+
+    import numpy as np
+
+    from docloom.functions import images
+
+    r = np.random.default_rng(0)
+    for shape in ((5, 7), (4, 4, 2), (9, 3, 3), (2, 6, 4)):
+        p = r.integers(0, 256, shape, dtype=np.uint8)
+        assert (images.decode_png(images.encode_png(p)) == p.reshape(*shape[:2], -1)).all()
+    assert images.decode_png(b"no picture") is None and images.decode_png(images.SIGNATURE + b"cut") is None
+    # each way of filtering a line, undone by its definition
+    p = r.integers(0, 256, (5, 6, 3), dtype=np.uint8).astype(int)
+    big = np.zeros((6, 7, 3), int)
+    big[1:, 1:] = p
+    a, b, c = big[1:, :-1], big[:-1, 1:], big[:-1, :-1]
+    d = [abs(a + b - c - v) for v in (a, b, c)]
+    guess = [0 * a, a, b, (a + b) // 2, np.where((d[0] <= d[1]) & (d[0] <= d[2]), a, np.where(d[1] <= d[2], b, c))]
+    lines = b"".join(bytes([y]) + ((p - guess[y])[y] % 256).astype(np.uint8).tobytes() for y in range(5))
+    plain = images.encode_png(p.astype(np.uint8))
+    at = plain.index(b"IDAT")
+    packed = zlib.compress(lines)
+    own = plain[: at - 4] + len(packed).to_bytes(4, "big") + b"IDAT" + packed + b"0000" + plain[plain.index(b"IEND") - 4 :]
+    assert (images.decode_png(own) == p).all()
+    smooth = np.kron(r.integers(0, 255, (5, 5)), np.ones((20, 20))).astype(np.uint8)
+    h = images.hash_pixels(smooth)
+    assert bin(h ^ images.hash_pixels(smooth[::2, ::2])).count("1") <= 10 and h == images.hash_pixels(np.stack([smooth] * 3, axis=2))
+    assert bin(h ^ images.hash_pixels(np.kron(r.integers(0, 255, (5, 5)), np.ones((20, 20))))).count("1") > 10
+    df = spark.createDataFrame([("QUI=",), ("?",), (None,)], "t string")
+    assert [x[0] for x in df.select(images.from_base64(F.col("t"))).collect()] == [b"AB", None, None]
+    assert [x[0] for x in df.select(images.perceptual_hash(F.col("t"))).collect()] == [None, None, None]
+
+
+def test_near_hashes_equal_all_pairs(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(63) for _ in range(20)]
+    h = base + [b ^ sum(1 << i for i in r.sample(range(63), r.randint(0, 14))) for b in base for _ in range(4)]
+    df = spark.createDataFrame([("g" if i % 3 else "h", i, x) for i, x in enumerate(h)], "g string, k long, h long")
+    for threshold in (0, 3, 7, 10, 11, 14):
+        got = {(x["a"], x["b"], x["distance"]) for x in dedup.hamming_pairs(df, "g", "k", "h", threshold).collect()}
+        want = {(i, j, bin(x ^ y).count("1")) for i, x in enumerate(h) for j, y in enumerate(h) if i < j and bool(i % 3) == bool(j % 3) and bin(x ^ y).count("1") <= threshold}
+        assert got == want
+
+
+def test_top_k_edges(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, 0.0]), (6, [0.0, 2.0])], "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "qid string, qvec array<float>")
+    got = lambda metric: [(x["qid"], x["doc_id"], x["score"]) for x in search.top_k(q, v, 2, metric).orderBy("qid", "rank").collect()]
+    assert got("l2") == [("a", 1, 0.0), ("a", 5, 0.0), ("b", 2, 1.0), ("b", 6, 1.0)]
+    assert got("cosine") == [("a", 1, 1.0), ("a", 5, 1.0), ("b", 6, 1.0), ("b", 1, 0.0)]
+    assert search.top_k(q.limit(0), v).count() == search.top_k(q, v.limit(0)).count() == 0
+
+
+def test_long_items_and_headings(spark):
+    items = items_of(spark, {"f": [("text", "a b c d e"), ("section_header", "H"), ("text", "x y")]})
+    got = [r["text"] for r in elements.pack_chunks(elements.split_items(items, 2), 2).orderBy("chunk_no").collect()]
+    assert got == ["a b", "c d", "e\nH", "x y"]
+    got = [r["text"] for r in elements.pack_chunks(items, 9, headings=True).orderBy("chunk_no").collect()]
+    assert got == ["a b c d e", "H\nx y"]
+
+
+def test_community_facts(spark):
+    e = spark.createDataFrame([("a", "R", "b", 2), ("b", "R", "c", 1), ("c", "R", "x", 1)], "src string, rel string, dst string, weight long")
+    c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")], "node string, community string")
+    got = {r["community"]: (r["n_nodes"], r["n_edges"], r["facts"]) for r in graph.community_facts(e, c, 1).collect()}
+    assert got == {"a": (3, 2, "a R b"), "x": (1, 0, "")}

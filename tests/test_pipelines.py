@@ -13,11 +13,59 @@ def test_command_line_fills_the_stores_once(spark, tmp_path):
     for _ in range(2):
         main(["-df", str(src), "-db", str(tmp_path / "db"), "--budget", "6"])
     docs = spark.read.parquet(str(tmp_path / "db/docs")).collect()
-    assert sorted(r["type"] for r in docs) == ["table"] * 3 + ["text"] * 2
+    assert sorted(r["type"] for r in docs) == ["table"] * 3 + ["text"] * 4
     assert len({r["id"] for r in docs}) == len(docs) == spark.read.parquet(str(tmp_path / "db/vectors")).count()
     assert all(r["context"] for r in docs if r["type"] == "table") and all(r["description"] for r in docs)
 
 
+def png(spark_rows):
+    import base64
+
+    from docloom.functions.images import encode_png
+
+    return base64.b64encode(encode_png(spark_rows)).decode()
+
+
+def test_near_equal_pictures_are_one_element(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    smooth = np.kron(r.integers(0, 255, (6, 6)), np.ones((12, 12))).astype(np.uint8)
+    other = np.kron(r.integers(0, 255, (6, 6)), np.ones((12, 12))).astype(np.uint8)
+    near = smooth.copy()
+    near[3, 3] += 1
+    one, two, three = png(smooth), png(near), png(np.stack([other] * 3, axis=2))
+    rows = [("f", 0, "#/0", "text", "See the pump.", None), ("f", 1, "#/1", "picture", "Fig. 1", one), ("f", 2, "#/2", "picture", "Fig. 2", two), ("f", 3, "#/3", "picture", "Fig. 3", three), ("g", 0, "#/0", "picture", "Fig.", two), ("g", 1, "#/1", "picture", "no image", None)]
+    prov = "array<struct<page:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>"
+    items = spark.createDataFrame(rows, "filename string, seq int, self_ref string, label string, text string, image string").selectExpr("*", f"cast(null as {prov}) as prov")
+    got = sorted((x["filename"], x["content"]) for x in pipelines.build_elements(items).where("type = 'image'").collect())
+    assert got == sorted([("f", one), ("f", three), ("g", two), ("g", "no image")])
+
+
+def test_prompts_reach_the_extraction_model(spark):
+    e = spark.createDataFrame([("1", "t", "", "", "text")], "id string, content string, context string, description string, type string")
+    asked = []
+
+    def model(systems, parts):
+        asked.extend(systems)
+        return ['{"relationships": [{"head": "%s", "head_type": "T", "relation": "R", "tail": "b", "tail_type": "T", "confidence": 1.0, "context": "c", "language": "eng"}]}' % s.count("(PERSON)-[OWNS]->(ORG)") for s in systems]
+
+    nodes, _, _ = pipelines.build_graph(e, {"text": model}, kinds=[("PERSON", "OWNS", "ORG")])
+    assert {r["node"] for r in nodes.collect()} == {"1", "b"}
+    assert prompts.with_schema("x", []) == "x" and prompts.EXTRACTION["text"]
+
+
+def test_counts_of_what_was_stored(spark, tmp_path):
+    e = spark.createDataFrame([("x", "", "text", "{}", "f"), ("y", "", "text", "{}", "f"), ("y", "", "text", "{}", "f")], "content string, context string, type string, metadata string, filename string")
+    at = [str(tmp_path / "d"), str(tmp_path / "v")]
+    from pyspark.sql import functions as F
+
+    embed = F.array(F.length("description").cast("float"), F.lit(1.0).cast("float"))
+    assert pipelines.populate(spark, e, *at, embed=embed) == {"records": 2, "vectors": 2}
+    assert pipelines.populate(spark, e, *at, embed=embed) == {"records": 0, "vectors": 0}
+    assert {len(r["embedding"]) for r in spark.read.parquet(at[1]).collect()} == {2}
+
+
 def test_summaries_go_to_the_model_of_their_type(spark):
     e = spark.createDataFrame([("1", "t", "c", "text"), ("2", "b", "c", "image"), ("3", "m", "c", "table"), ("4", "u", "c", None)], "id string, content string, context string, type string")
     models = {k: lambda s, a, k=k: [f"{k}:{'+'.join(x)}" for x in a] for k in prompts.SUMMARY}
