@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
+
+#: Rows of numbers that are broadcast at most; beyond that they are joined by shuffling.
+BROADCAST = 1_000_000
 
 
 def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
@@ -34,6 +37,12 @@ def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str
     return df.mapInArrow(run, schema)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A checkpoint of rows of numbers, marked for a broadcast only where there are BROADCAST of them at most."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def tasks(df: DataFrame) -> int:
     """Number of partitions for work in Python that depends on rows rather than bytes: at least one a core."""
     spark = df.sparkSession

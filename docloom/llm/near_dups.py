@@ -33,20 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, store
-from .common import arrow_rows
+from .common import arrow_rows, bounded
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 25
 FIELDS = ("content", "description")
-#: Runs in a group of a text of the mean size.
-GROUP = 16
-#: Bits of a group's bitmap, and the most that its two sizes are told as.
-BITS, MOST = 48, 255
-#: Bits of a set's bitmap, in words of 64.
-BITMAP = 8
+#: Runs in a group of a text of the mean size.  Texts beyond LONGER times the mean size have FINER times as many
+#: groups, those beyond FINER times that size FINER times as many again, and so on.
+GROUP, LONGER, FINER = 16, 4, 4
+#: The most that a group's two sizes are told as.
+MOST = 255
+#: Runs for a word of 64 bits of a set's bitmap.
+FOR_WORD = 32
 #: Texts whose runs are counted for the order, and most runs told apart by their counts.
 ORDERING, FREQUENT = 20_000, 200_000
-#: Rows of numbers that are broadcast at most; beyond that they are joined by shuffling.
-BROADCAST = 1_000_000
 CACHE = 500_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -73,23 +72,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[str], table: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the runs of SHINGLE words."""
-    w = np.array(list(map(table.__getitem__, words)), np.uint64)
-    n = len(w) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def shingle_sets(texts: list[list[str]], table: WordHash) -> list[np.ndarray]:
+    """Of each text of words, the sorted distinct hashes of its runs of SHINGLE words."""
+    sizes = np.array(list(map(len, texts)), np.int64)
+    w = _mixed(np.fromiter((table[x] for t in texts for x in t), np.uint64, int(sizes.sum())))
+    n = max(0, len(w) - SHINGLE + 1)
     x = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
-        x = x * _MIX[0] + _mixed(w[i : i + n])
-    return np.unique(x)
+        x = x * _MIX[0] + w[i : i + n]
+    of = np.repeat(np.arange(len(texts)), sizes)
+    inside = of[:n] == of[SHINGLE - 1 :][:n]
+    x, of = x[inside], of[:n][inside]
+    at = np.lexsort((x, of))
+    x = x[at]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
+    x, of = x[new], of[new]
+    return np.split(x, np.searchsorted(of, np.arange(1, len(texts)))) if texts else []
 
 
 def _counter():
     table = WordHash()
 
     def step(b):
-        sets = [(f, shingle_hashes(w, table)) for f, w in zip(b["field"], map(word_runs, b["text"])) if len(w) >= LEAST_WORDS]
+        spoken = [(f, w) for f, w in zip(b["field"], map(word_runs, b["text"])) if len(w) >= LEAST_WORDS]
+        sets = list(zip([f for f, _ in spoken], shingle_sets([w for _, w in spoken], table)))
         runs, n = np.unique(np.concatenate([x for _, x in sets]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         of = [[len(x) for g, x in sets if g == f] for f in FIELDS]
         return {
@@ -101,58 +108,84 @@ def _counter():
     return step
 
 
-def ordering(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """From about sample texts: the runs met twice or more, sorted, the most frequent only, with their counts; each field's number of groups."""
+def ordering(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """From about sample texts: the runs met twice or more, sorted, the most frequent only, with their counts; the mean number of runs of each field's texts."""
     k = max(1, -(-fields.count() // sample))
     some = fields.where(F.pmod(F.xxhash64(F.lit("order"), "field", "elem_no"), F.lit(k)) == 0).select("field", "text")
-    counted = cut(arrow_rows(some, "field string, run long, n long", _counter))
-    top = counted.where("field IS NULL").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "run").limit(most).toPandas()
-    runs = top["run"].to_numpy(np.int64).view(np.uint64)
-    at = runs.argsort()
+    counted = arrow_rows(some, "field string, run long, n long", _counter)
+    runs = counted.where("field IS NULL").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "run").limit(most).toPandas()
+    at = (hashes := runs["run"].to_numpy(np.int64).view(np.uint64)).argsort()
     sizes = {r["field"]: r["runs"] / max(1, r["texts"]) for r in counted.where("field IS NOT NULL").groupBy("field").agg(F.sum("run").alias("runs"), F.sum("n").alias("texts")).collect()}
-    return runs[at], top["n"].to_numpy(np.int64)[at], [max(1, round(sizes.get(f, 0) / GROUP)) for f in FIELDS]
+    return hashes[at], runs["n"].to_numpy(np.int64)[at], [max(1.0, sizes.get(f, 0)) for f in FIELDS]
 
 
-def prefixes(sets: list[np.ndarray], codes: list[int], order: tuple[np.ndarray, np.ndarray, list[int]], similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of rows of each set, key, pack) of the rows that sets of runs are joined on.
+def grades(size: int, mean: float, similar: float) -> list[int]:
+    """The grades of sizes in which a set of this size meets others: that of the larger of the two, so some sets have two."""
+    grade, ends = 0, LONGER * mean
+    while size >= ends:
+        grade, ends = grade + 1, ends * FINER
+    out = [grade]
+    while size >= (similar - 1e-9) * ends:
+        grade, ends = grade + 1, ends * FINER
+        out.append(grade)
+    return out
 
-    codes has the number of each set's field.  A pack holds the bitmap of the set's runs in a group, how
-    many these are, and how many of them come from this run on, the last two MOST at most.
+
+def prefixes(sets: list[np.ndarray], codes: list[int], order: tuple[np.ndarray, np.ndarray, list[float]], similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of rows of each set, key, size, map) of the rows that sets of runs are joined on.
+
+    codes has the number of each set's field.  A key is 32 bits of the run's hash; a size tells how many runs the
+    set has in the run's group, and how many of them come from this one on, both MOST at most; a map is
+    the bitmap of those in the group.
     """
-    known, counts, groups = order
-    x = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+    known, counts, means = order
+    each = [(i, g) for i, (s, c) in enumerate(zip(sets, codes)) for g in grades(len(s), means[c], similar)]
+    x = np.concatenate([sets[i] for i, _ in each])
+    sizes = np.array([len(sets[i]) for i, _ in each])
+    of = np.repeat(np.arange(len(each)), sizes)
     n = np.zeros(len(x), np.uint64)
     if len(known):
         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
         n = np.where(known[at] == x, counts[at], 0).astype(np.uint64)
-    code = np.array(codes, np.uint64)[of]
-    k = np.array(groups, np.uint64)
     own = _mixed(x)
-    most = int(k.max())
-    group = of * np.uint64(most) + (own >> np.uint64(20)) % k[code]
+    k = np.array([max(1, round(means[codes[i]] / GROUP)) * FINER**g for i, g in each], np.uint64)
+    kind = np.array([codes[i] + len(FIELDS) * g for i, g in each], np.uint64)
+    group = of.astype(np.uint64) * k.max() + (own >> np.uint64(20)) % k[of]
     # by group, then count, then hash: sets are sorted
     at = np.argsort((group << np.uint64(20)) | np.minimum(n, np.uint64(0xFFFFF)), kind="stable")
-    own, group, of, code = own[at], group[at], of[at], code[at]
+    own, group, of = own[at], group[at], of[at]
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(first, len(own)))
+    bitmap = np.bitwise_or.reduceat(np.uint64(1) << (own & np.uint64(63)), first)
     place = np.arange(len(own)) - np.repeat(first, size)
-    bitmap = np.bitwise_or.reduceat(np.uint64(1) << (own % np.uint64(BITS)), first)
     early = place < np.repeat(size - np.ceil((similar - 1e-9) * size).astype(np.int64) + 1, size)
-    size_of, left = np.repeat(size, size), np.repeat(size, size) - place
-    pack = (np.repeat(bitmap, size) << np.uint64(16)) | (np.minimum(size_of, MOST).astype(np.uint64) << np.uint64(8)) | np.minimum(left, MOST).astype(np.uint64)
-    key = (_mixed(own + code) >> np.uint64(24)).view(np.int64)
-    return np.bincount(of[early].astype(np.int64), minlength=len(sets)), key[early], pack[early].view(np.int64)
+    size_of = np.repeat(size, size)[early]
+    told = np.minimum(size_of, MOST) << 8 | np.minimum(size_of - place[early], MOST)
+    key = (_mixed(own[early] + kind[of[early]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    rows = np.bincount(np.array([i for i, _ in each])[of[early]], minlength=len(sets))
+    return rows, key, told.astype(np.int32), np.repeat(bitmap, size)[early].view(np.int64)
+
+
+def bitmaps(sets: list[np.ndarray]) -> pa.Array:
+    """A bitmap of each set's runs: a power of two of words, in proportion to the set."""
+    words = np.array([1 << ((len(s) - 1) // FOR_WORD).bit_length() for s in sets])
+    ends = np.concatenate(([0], np.cumsum(words)))
+    hashed = _mixed(np.concatenate(sets))
+    sizes = [len(s) for s in sets]
+    at = np.repeat(ends[:-1], sizes) + ((hashed >> np.uint64(6)) % np.repeat(words, sizes).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(ends[-1], np.uint64)
+    np.bitwise_or.at(out, at, np.uint64(1) << (hashed & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.view(np.int64)))
 
 
 _SKETCH = pa.schema(
     [("elem_no", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()), ("field", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())]
-    + [("bitmap", pa.list_(pa.int64())), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("packs", pa.list_(pa.int64()))]
+    + [("bitmap", pa.list_(pa.int64())), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("maps", pa.list_(pa.int64()))]
 )
 
 
 def sketches(fields: DataFrame, similar: float) -> DataFrame:
-    """(elem_no, id1, id2, field, h1, h2, bitmap, n, keys, packs) of the texts long enough; fields has elem_no, id, field, text."""
+    """(elem_no, id1, id2, field, h1, h2, bitmap, n, keys, sizes, maps) of the texts long enough; fields has elem_no, id, field, text."""
     ship(fields.sparkSession)
     order = fields.sparkSession.sparkContext.broadcast(ordering(fields))
     own = F.coalesce("id", F.concat(F.lit("row "), F.col("elem_no")))
@@ -167,30 +200,26 @@ def sketches(fields: DataFrame, similar: float) -> DataFrame:
             kept = [i for i, w in enumerate(spoken) if len(w) >= LEAST_WORDS]
             if not kept:
                 continue
-            sets = [shingle_hashes(spoken[i], table) for i in kept]
+            sets = shingle_sets([spoken[i] for i in kept], table)
             b = b.take(pa.array(kept))
-            x = np.concatenate(sets)
+            hashed = _mixed(np.concatenate(sets))
             sizes = [len(s) for s in sets]
             at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            hashed = _mixed(x)
-            bit, word = np.uint64(1) << (hashed & np.uint64(63)), (hashed >> np.uint64(6)) % np.uint64(BITMAP)
-            bitmap = np.stack([np.bitwise_or.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(BITMAP)], axis=1)
-            n, keys, packs = prefixes(sets, [FIELDS.index(f) for f in b.column("field").to_pylist()], order.value, similar)
+            n, *lists = prefixes(sets, [FIELDS.index(f) for f in b.column("field").to_pylist()], order.value, similar)
             ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(c) for c in ("elem_no", "id1", "id2", "field")),
                     pa.array(np.add.reduceat(hashed, at).view(np.int64)),
                     pa.array(np.bitwise_xor.reduceat(_mixed(hashed + _MIX[0]), at).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32()), pa.array(bitmap.view(np.int64).ravel())),
+                    bitmaps(sets),
                     pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(ends, pa.array(keys)),
-                    pa.ListArray.from_arrays(ends, pa.array(packs)),
+                    *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists),
                 ],
                 schema=_SKETCH,
             )
 
-    return rows.mapInArrow(run, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, bitmap array<long>, n int, keys array<long>, packs array<long>")
+    return rows.mapInArrow(run, "elem_no long, id1 long, id2 long, field string, h1 long, h2 long, bitmap array<long>, n int, keys array<int>, sizes array<int>, maps array<long>")
 
 
 def node(field: str, elem_no: str) -> Column:
@@ -204,41 +233,33 @@ def number(c: str) -> Column:
     return F.expr(f"({c} - pmod({c}, {len(FIELDS)})) div {len(FIELDS)}").alias(c)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A checkpoint that may be broadcast where it has few rows."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
-def flat(sets: DataFrame) -> DataFrame:
-    """(node, key, pack) of (node, keys, packs): a row for each key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, packs = b.column("keys"), b.column("packs")
-            nodes = np.repeat(b.column("node").to_numpy(), np.diff(keys.offsets.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), keys.flatten(), packs.flatten()], names=["node", "key", "pack"])
-
-    return sets.select("node", "keys", "packs").mapInArrow(run, "node long, key long, pack long")
-
-
 def candidates(sets: DataFrame, similar: float) -> DataFrame:
-    """(a, b), a < b: distinct representatives (node, keys, packs) of one field that may be alike by similar.
+    """(a, b), a < b: distinct representatives (node, keys, sizes, maps) of one field that may be alike by similar.
 
     Every pair that is comes out: some group covers it.  Pairs come hashed by a.
     """
-    rows = flat(sets)
+    key = (F.col("key").cast("long") * (1 << 16) + F.col("size")).alias("key")
+    rows = sets.select("node", F.inline(F.arrays_zip("keys", "sizes", "maps"))).toDF("node", "key", "size", "map").select("node", key, "map")
     x, y = rows.alias("x"), rows.alias("y")
-    size, left = (lambda s: F.expr(f"(shiftright({s}.pack, 8) & {MOST})")), (lambda s: F.expr(f"({s}.pack & {MOST})"))
+    size, left = (lambda s: F.expr(f"(shiftright({s}.key, 8) & {MOST})")), (lambda s: F.expr(f"({s}.key & {MOST})"))
     total, least = size("x") + size("y"), similar - 1e-9
     enough = F.least(left("x"), left("y")) * (1 + least) >= least * total
-    near = F.bit_count(F.shiftrightunsigned(F.expr("x.pack ^ y.pack"), 16)) * (1 + least) <= (1 - least) * total
+    near = F.bit_count(F.expr("x.map ^ y.map")) * (1 + least) <= (1 - least) * total
     told = (size("x") < MOST) & (size("y") < MOST)
     one_field = F.expr(f"pmod(x.node - y.node, {len(FIELDS)})") == 0
-    pairs = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (~told | (enough & near)) & one_field)
+    one_run = F.shiftright("x.key", 16) == F.shiftright("y.key", 16)
+    pairs = x.join(y, one_run & ((near & enough) | ~told) & (F.col("x.node") < F.col("y.node")) & one_field)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).repartition("a").distinct()
 
 
+def differing(a: str, b: str) -> Column:
+    """Number of bits in which two bitmaps differ, the longer one folded to the length of the other."""
+    words = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.transform(F.sequence(i, F.size(c) - 1, words), lambda j: F.get(c, j)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)))
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return F.when(F.size(a) == F.size(b), count(F.col(a), F.col(b))).otherwise(count(folded(a), folded(b)))
+
+
 def _comparer():
     def step(b):
         got, sets, table = [], {}, WordHash()
@@ -265,20 +286,19 @@ def similar_pairs(fields: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     """
     group = ["field", "h1", "h2"]
     rows = store(sketches(fields, similar))
-    firsts = rows.groupBy(*group, "id1", "id2").agg(F.min("elem_no").alias("elem_no"))
-    classes = rows.groupBy(*group).agg(F.min("elem_no").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    members = firsts.join(classes.select(*group, "rep"), group).select("field", "rep", "elem_no")
+    narrow = rows.select(*group, "id1", "id2", "elem_no")
+    classed = store(narrow.join(narrow.groupBy(*group).agg(F.min("elem_no").alias("rep")), group).select("field", "rep", "id1", "id2", "elem_no"))
+    members = classed.groupBy("field", "rep", "id1", "id2").agg(F.min("elem_no").alias("elem_no")).select("field", "rep", "elem_no")
     # rows that are not their class's first: only these leave the join, so nothing else is shuffled for it
-    copies = rows.select(*group, "elem_no").join(classes.where("rows > 1"), group).where("elem_no > rep").select(node("field", "elem_no").alias("node"))
+    copies = classed.where("elem_no > rep").select(node("field", "elem_no").alias("node"))
     reps = rows.withColumn("node", node("field", "elem_no")).join(bounded(copies), "node", "left_anti")
     met = candidates(reps, similar)
     a, b = (reps.select(F.col("node").alias(c), F.col("bitmap").alias(f"bitmap_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(BITMAP)), F.lit(0))
     least = similar - 1e-9
-    alike = differ * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b"))
+    alike = differing("bitmap_a", "bitmap_b") * (1 + least) <= (1 - least) * (F.col("n_a") + F.col("n_b"))
     near = cut(met.join(a, "a").join(b, "b").where(alike).select(F.element_at(F.array(*map(F.lit, FIELDS)), F.pmod("a", F.lit(len(FIELDS))).cast("int") + 1).alias("field"), number("a"), number("b")))
     ends = bounded(near.select("field", F.explode(F.array("a", "b")).alias("elem_no")).distinct())
-    texts = cut(fields.select("field", "elem_no", "text").join(ends, ["field", "elem_no"]).dropDuplicates(["field", "elem_no"]))
+    texts = store(fields.select("field", "elem_no", "text").join(ends, ["field", "elem_no"]).dropDuplicates(["field", "elem_no"]))
     both = near.join(texts.select("field", F.col("elem_no").alias("a"), F.col("text").alias("text_a")), ["field", "a"]).join(
         texts.select("field", F.col("elem_no").alias("b"), F.col("text").alias("text_b")), ["field", "b"]
     )
