@@ -1,12 +1,15 @@
 """Ids of a public byte-level BPE tokenizer, with chunks shared between texts encoded once.
 
 Texts are cut where a rolling hash of the last bytes hits a mask, so equal stretches fall into
-equal chunks wherever they stand.  Distinct chunks are encoded once; each text is then put together
-from its chunks' ids.  At every join the text around it is split and encoded again from a split
-point of the left chunk that its end can't have moved, on to the first split point that both the
-joined text and the right chunk alone have; where there is none the window grows by the next chunk.
-From a common split point on both go on alike, because the tokenizer's pattern looks at nothing
-before it, so the ids agree exactly with those of the whole text.
+equal chunks wherever they stand.  Chunks are known by 128 bits of their hash: only these hashes are
+shuffled to find the chunks that stand in several texts.  A text without any is encoded where it is
+read.  Shared chunks are encoded once each, and texts that have one are put together from ids.
+
+A chunk's own ids are right only away from its ends.  Between a letter or digit and a space the
+tokenizer's pattern always splits, and what it does on one side depends on nothing on the other, so ids
+between the first and the last such point of a chunk stand in every text that has the chunk.  At every join
+the text from the last point before it to the first one after it is encoded again; where a chunk has no
+such point the open text grows by the next chunk.  So joined ids agree exactly with those of the whole text.
 
 Defined cases: null and empty texts have the empty list; strings of special tokens are ordinary
 text; repeated rows are all returned; texts of any length are encoded whole.
@@ -15,20 +18,21 @@ text; repeated rows are all returned; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, tasks
+from ..session import store
+from .common import arrow_rows, bounded, tasks
 
 #: Sizes of chunks in characters; on average a chunk goes on AVERAGE bytes beyond the least size.
-LEAST, AVERAGE, MOST = 128, 256, 4096
+LEAST, AVERAGE, MOST = 1024, 2048, 16_384
 WINDOW = 16
-#: Split points kept from the beginning of a chunk, and before its end those left to the join.
-HEAD, TAIL = 12, 3
-CACHE = 200_000
+#: A point where the pattern of the public byte-level tokenizers always splits.
+_POINT = re.compile(r"[^\W_](?= )")
 
 
 def default_ranks() -> str:
@@ -38,35 +42,20 @@ def default_ranks() -> str:
 
 
 class Encoder:
-    """The tokenizer of a rank file; splits of texts are encoded once and remembered, up to CACHE of them."""
+    """The tokenizer of a rank file."""
 
     def __init__(self, ranks: str, pattern: str | None = None):
         import public_tokenizers
-        import regex
         import tiktoken
 
-        pattern = pattern or public_tokenizers.PATTERN
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.split = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-
-    def piece(self, s: str) -> list[int]:
-        got = self.known.get(s)
-        if got is None:
-            got = self.bpe.encode_ordinary(s)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[s] = got
-        return got
-
-    def pieces(self, text: str) -> list[str]:
-        return self.split.findall(text)
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        #: split points are known of this pattern only; texts of another are encoded whole
+        self.has_points = pattern in (None, public_tokenizers.PATTERN)
 
     def ids(self, text: str) -> list[int]:
-        piece = self.piece
-        return [i for s in self.split.findall(text) for i in piece(s)]
+        return self.bpe.encode_ordinary(text)
 
 
 def _gear() -> np.ndarray:
@@ -76,126 +65,151 @@ def _gear() -> np.ndarray:
 _GEAR = _gear()
 
 
-def chunks(text: str) -> list[str]:
-    """Content-defined chunks; joined they are the text."""
-    if len(text) <= LEAST:
-        return [text] if text else []
-    raw = np.frombuffer(text.encode(), np.uint8)
+def chunks(texts: list[str]) -> list[list[str]]:
+    """Content-defined chunks of each text; joined they are the text."""
+    long = [t for t in texts if len(t) > LEAST]
+    if not long:
+        return [[t] if t else [] for t in texts]
+    # the window never reaches back into another text where it counts, beyond LEAST characters
+    own = [t.encode("utf-8", "surrogatepass") for t in long]
+    raw = np.frombuffer(b"".join(own), np.uint8)
     mixed = _GEAR[raw]
     roll = np.zeros(len(raw), np.uint32)
     for k in range(WINDOW):
         roll[k:] += mixed[: len(raw) - k] << np.uint32(2 * k)
     lead = (raw & 0xC0) != 0x80  # first byte of a character
-    char = np.cumsum(lead)  # characters up to and with this byte
     hit = (roll >> np.uint32(32 - int(np.log2(AVERAGE)))) == 0
     hit[:-1] &= lead[1:]  # a chunk ends only between characters
-    ends = char[np.flatnonzero(hit)].tolist()
-    out, at, n = [], 0, len(text)
-    while n - at > LEAST:
-        i = bisect_left(ends, at + LEAST)
-        to = min(ends[i] if i < len(ends) else n, at + MOST, n)
-        out.append(text[at:to])
-        at = to
-    if at < n:
-        out.append(text[at:])
+    at_byte = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+    at_char = np.concatenate(([0], np.cumsum([len(t) for t in long])))
+    hits = np.flatnonzero(hit)
+    ends = np.cumsum(lead)[hits]  # characters up to and with this byte
+    spans = np.searchsorted(hits, at_byte)
+    cut = iter([(ends[spans[i] : spans[i + 1]] - at_char[i]).tolist() for i in range(len(long))])
+    out = []
+    for t in texts:
+        n = len(t)
+        if n <= LEAST:
+            out.append([t] if t else [])
+            continue
+        mine, parts, at = next(cut), [], 0
+        while n - at > LEAST:
+            i = bisect_left(mine, at + LEAST)
+            to = min(mine[i] if i < len(mine) else n, at + MOST, n)
+            parts.append(t[at:to])
+            at = to
+        if at < n:
+            parts.append(t[at:])
+        out.append(parts)
     return out
 
 
-def encode_chunk(enc: Encoder, chunk: str) -> tuple[list[int], list[int], list[int], int, int]:
-    """ids; the first split points and the numbers of ids before them; the last stable split point and the ids before it."""
-    ids: list[int] = []
-    at, points, counts = 0, [0], [0]
-    for s in enc.pieces(chunk):
-        ids += enc.piece(s)
-        at += len(s)
-        points.append(at)
-        counts.append(len(ids))
-    stable = max(len(points) - 1 - TAIL, 0)
-    return ids, points[1 : HEAD + 1], counts[1 : HEAD + 1], points[stable], counts[stable]
+def encode_chunk(enc: Encoder, chunk: str) -> tuple[str, list[int] | None, str]:
+    """The text before the first split point, the ids up to the last one, the text after it; no ids where there is no point."""
+    first = _POINT.search(chunk) if enc.has_points else None
+    if first is None:
+        return chunk, None, ""
+    a, z = first.end(), chunk.rfind(" ")
+    while z > a and not chunk[z - 1].isalnum():
+        z = chunk.rfind(" ", a, z)
+    z = max(z, a)
+    return chunk[:a], enc.ids(chunk[a:z]), chunk[z:]
 
 
-def join_chunks(enc: Encoder, parts: list[tuple[str, list[int], list[int], list[int], int, int]]) -> list[int]:
-    """Ids of the joined text from (chunk, ids, points, counts, tail point, tail count) of its chunks in order."""
+def join_chunks(enc: Encoder, parts: list[tuple[str, list[int] | None, str]]) -> list[int]:
+    """Ids of the joined text from (head, ids, tail) of its chunks in order."""
     out: list[int] = []
     open_text = ""
-    for no, (chunk, ids, points, counts, tail, n_tail) in enumerate(parts):
-        if no == 0:
-            out += ids[:n_tail]
-            open_text = chunk[tail:]
-            continue
-        size = len(open_text)
-        legal = {size + p: c for p, c in zip(points, counts) if p <= tail}
-        at, again, synced = 0, [], None
-        if legal:
-            last = max(legal)
-            for m in enc.split.finditer(open_text + chunk):
-                at = m.end()
-                again += enc.piece(m.group())
-                if at >= size and at in legal:
-                    synced = at
-                    break
-                if at > last:
-                    break
-        if synced is None:
-            open_text += chunk
-        else:
-            out += again
-            out += ids[legal[synced] : n_tail]
-            open_text = chunk[tail:]
+    for head, ids, tail in parts:
+        open_text += head
+        if ids is not None:
+            out += enc.ids(open_text)
+            out += ids
+            open_text = tail
     return out + enc.ids(open_text)
 
 
-def token_ids(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """(doc_id, ids) of each row of docs (doc_id, text).
+def _number(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    Texts are known by their SHA-256, so equal texts are cut and joined once; chunks meet their ids
-    on the chunk's own text, so no digest stands for a chunk.
-    """
-    path = ranks or default_ranks()
-    docs = docs.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
-    texts = docs.where("text IS NOT NULL AND text <> ''").groupBy("digest").agg(F.first("text").alias("text"))
 
-    def cutter():
+def chunk_hashes(docs: DataFrame) -> DataFrame:
+    """(t1, t2, seq, c1, c2) of the chunks of each row of docs (t1, t2, text): hashes of text and chunk."""
+
+    def make():
+        import xxhash
+
         def step(b):
-            got = [(d, i, c) for d, t in zip(b["digest"], b["text"]) for i, c in enumerate(chunks(t))]
-            return dict(zip(("digest", "seq", "chunk"), map(list, zip(*got))))
+            out: dict[str, list] = {k: [] for k in ("t1", "t2", "seq", "c1", "c2")}
+            for t1, t2, parts in zip(b["t1"], b["t2"], chunks(b["text"])):
+                for i, c in enumerate(parts):
+                    h = xxhash.xxh3_128_intdigest(c.encode("utf-8", "surrogatepass"))
+                    for k, v in zip(out, (t1, t2, i, _number(h >> 64), _number(h & (1 << 64) - 1))):
+                        out[k].append(v)
+            return out
 
         return step
 
-    placed = arrow_rows(texts, "digest string, seq int, chunk string", cutter)
+    return arrow_rows(docs.select("t1", "t2", "text"), "t1 long, t2 long, seq int, c1 long, c2 long", make)
+
+
+def token_ids(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """(doc_id, ids) of each row of docs (doc_id, text).
+
+    Texts with a chunk that stands twice or more meet their chunks' ids by shuffling; the others never
+    leave their task.
+    """
+    path = ranks or default_ranks()
+    none = F.array().cast("array<int>")
+    empty = docs.where("text IS NULL OR text = ''").select("doc_id", none.alias("ids"))
+    full = docs.where("text <> ''").select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    text, chunk = ["t1", "t2"], ["c1", "c2"]
+    hashes = store(chunk_hashes(full))
+    shared = hashes.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*chunk)
+    some = bounded(hashes.join(shared, chunk, "left_semi").select(*text).distinct())
+
+    def whole():
+        enc = Encoder(path)
+        return lambda b: {"doc_id": b["doc_id"], "ids": [enc.ids(t) for t in b["text"]]}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    alone = arrow_rows(full.join(some, text, "left_anti").select("doc_id", "text"), f"doc_id {kind}, ids array<int>", whole)
 
     def encoder():
         enc = Encoder(path)
 
         def step(b):
-            got = [(c, *encode_chunk(enc, c)) for c in b["chunk"]]
-            return dict(zip(("chunk", "ids", "points", "counts", "tail", "n_tail"), map(list, zip(*got))))
+            return {**{k: b[k] for k in chunk}, **dict(zip(("head", "ids", "tail"), map(list, zip(*(encode_chunk(enc, c) for c in b["chunk"])))))}
 
         return step
 
-    coded = arrow_rows(
-        placed.select("chunk").distinct().repartition(tasks(docs)),
-        "chunk string, ids array<int>, points array<int>, counts array<int>, tail int, n_tail int",
-        encoder,
-    )
-    whole = (
-        placed.join(coded, "chunk")
-        .groupBy("digest")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "chunk", "ids", "points", "counts", "tail", "n_tail"))).alias("parts"))
-    )
-
-    def joiner():
-        enc = Encoder(path)
+    def cutter():
+        import xxhash
 
         def step(b):
-            keys = ("chunk", "ids", "points", "counts", "tail", "n_tail")
-            return {"digest": b["digest"], "ids": [join_chunks(enc, [tuple(p[k] for k in keys) for p in parts]) for parts in b["parts"]]}
+            out: dict[str, list] = {k: [] for k in ("c1", "c2", "chunk")}
+            for parts in chunks(b["text"]):
+                for c in parts:
+                    h = xxhash.xxh3_128_intdigest(c.encode("utf-8", "surrogatepass"))
+                    for k, v in zip(out, (_number(h >> 64), _number(h & (1 << 64) - 1), c)):
+                        out[k].append(v)
+            return out
 
         return step
 
-    ids = arrow_rows(whole, "digest string, ids array<int>", joiner)
-    none = F.array().cast("array<int>")
-    return docs.select("doc_id", "digest").join(ids, "digest", "left").select("doc_id", F.coalesce("ids", none).alias("ids"))
+    joined = full.join(some, text, "left_semi")
+    texts = joined.groupBy(*text).agg(F.first("text").alias("text"))
+    distinct = arrow_rows(texts.select("text"), "c1 long, c2 long, chunk string", cutter).groupBy(*chunk).agg(F.first("chunk").alias("chunk"))
+    coded = arrow_rows(distinct.repartition(tasks(docs), *chunk), "c1 long, c2 long, head string, ids array<int>, tail string", encoder)
+    placed = hashes.join(some, text, "left_semi").dropDuplicates([*text, "seq"])
+    parts = placed.join(coded, chunk).groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("seq", "head", "ids", "tail"))).alias("parts"))
+
+    def joiner():
+        enc = Encoder(path)
+        return lambda b: {**{k: b[k] for k in text}, "ids": [join_chunks(enc, [(p["head"], p["ids"], p["tail"]) for p in own]) for own in b["parts"]]}
+
+    ids = arrow_rows(parts, "t1 long, t2 long, ids array<int>", joiner)
+    return empty.unionByName(alone).unionByName(joined.select("doc_id", *text).join(ids, text).select("doc_id", "ids"))
 
 
 def token_counts(docs: DataFrame, keys: dict[str, str], ranks: str | None = None) -> DataFrame:
