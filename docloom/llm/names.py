@@ -1,12 +1,18 @@
 """Variant spellings of names linked to the entities they mean.
 
-Distinct names and registered names become unit vectors of character n-grams, weighted by inverse
-document frequency over all distinct names.  A sparse join, spread over the distinct names, gives
-each its TOP registered names by cosine, of those at AT_LEAST or more.  Each pair is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
-acronyms and a few mistyped letters may differ, a different word may not.  What is left is grouped
-by average linkage: names that read as one entity only, or as one at clearly the least cost, make its
-cluster; any other name goes to the cluster, of those it reads as at nearly the least cost, with whose
-members its mean cosine is highest, and to none where two are equally near.
+Distinct names and registered names become unit vectors of the character n-grams that registered names have, hashed
+into BUCKETS and weighted by inverse document frequency over all distinct names.  Vectors are joined as relations: two of a cosine of
+AT_LEAST or more have their first common n-gram, rare ones first, before the point from which on the rest of
+either is shorter than AT_LEAST, so only n-grams before it are joined on, and no pair is lost.  Each pair
+is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
+acronyms and a few mistyped letters may differ, a different word may not.  A name keeps the TOP
+entities by cosine of those that it can be read as.
+
+What is left is grouped by average linkage around the registered names (to_entities): names that read as
+one entity only, or as one at clearly the least cost, make its cluster; any other name goes to the
+cluster, of those it reads as at nearly the least cost, with whose members its mean cosine is highest,
+and to none where two are equally near.  Names that mean no registered entity are joined with each
+other (similar_names), and grouped by average linkage from single names upwards (average_linkage).
 
 Nicknames are learned from names that give both (`Robert "Bob" ...`).
 
@@ -17,10 +23,10 @@ give no links; repeated rows are each linked.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Callable
+from copy import copy
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .common import arrow_rows, tasks
+from .common import arrow_rows, letters_digits, tasks
 
 GRAM, TOP, AT_LEAST = 3, 12, 0.3
 #: Costs of reading that differ by less are nearly equal.
 NEARLY = 0.15
-#: Registered names in a block.
-BLOCK = 50_000
+#: Cosine of names, and mean cosine of clusters, from which on they are variants of one another.
+VARIANTS = 0.7
+#: Buckets of hashed n-grams, which bounds what is broadcast of their frequencies; most pairs of nicknames learned.
+BUCKETS, NICKNAMES = 1 << 18, 200_000
 #: Titles, and words that link others.
 TITLES = frozenset("mr mrs ms miss dr prof professor ing sir dame herr frau señor señora sr sra srta dra monsieur madame m mme signor signora dott rev hon the".split())
 LINKS = frozenset("for of and the f de del der des du da di et und y e".split())
@@ -189,7 +197,7 @@ def grams(name: str, nick: dict[str, set[str]]) -> list[str]:
         return [f"={short}"]
     out: set[str] = set()
     bare = [w.rstrip(".") for w in words(name)[0]]
-    for w in bare + [g for w in bare for g in sorted(nick.get(w, ()))[:2]]:
+    for w in bare + [g for w in bare for g in sorted(nick.get(w, ()))]:
         p = f"^{w}$"
         out |= {p[i : i + GRAM] for i in range(max(1, len(p) - GRAM + 1))}
     return sorted(out)
@@ -202,113 +210,169 @@ def nicknames(names: DataFrame) -> DataFrame:
     return got.groupBy("nick", "given").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-class Registry:
-    """Unit vectors of a block of registered names, by n-gram, and the reading of its names."""
-
-    def __init__(self, rows: list[tuple[int, str, bool]], idf: dict[str, float], nick: dict[str, set[str]]):
-        """rows (entity_no, name, person); idf has the n-grams that occur in the names to be linked."""
-        self.rows, self.nick, self.idf = rows, nick, idf
-        postings: dict[str, list[tuple[int, float]]] = {}
-        self.form_of: list[int] = []  # a name has a vector of its own and one for each acronym
-        for no, (_, name, _) in enumerate(rows):
-            for form in [grams(name, nick), *([f"={a}"] for a in sorted(acronyms(name)))]:
-                weights = {g: idf[g] for g in form if g in idf}
-                norm = math.sqrt(sum(w * w for w in weights.values()))
-                for g, w in weights.items():
-                    postings.setdefault(g, []).append((len(self.form_of), w / norm))
-                self.form_of.append(no)
-        self.postings = {g: (np.array([f for f, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
-
-    def near(self, name: str, top: int, at_least: float) -> list[tuple[int, float]]:
-        """Up to top (row, cosine) of at_least or more, the nearest first."""
-        weights = {g: self.idf[g] for g in grams(name, self.nick) if g in self.idf}
-        met = [(*self.postings[g], w) for g, w in weights.items() if g in self.postings]
-        if not met:
-            return []
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        forms, back = np.unique(np.concatenate([f for f, _, _ in met]), return_inverse=True)
-        cosines = np.bincount(back, np.concatenate([p * w for _, p, w in met])) / norm
-        best: dict[int, float] = {}
-        for k in np.flatnonzero(cosines >= at_least):
-            row = self.form_of[forms[k]]
-            best[row] = max(best.get(row, 0.0), float(cosines[k]))
-        return sorted(best.items(), key=lambda x: (-x[1], self.rows[x[0]][0]))[:top]
-
-
-def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least: float = AT_LEAST, block: int = BLOCK) -> DataFrame:
-    """(name, entity_no, cosine) of the distinct names of texts (name) that are variants of registered ones.
+def bucket(gram: str) -> int:
+    import xxhash
 
-    registry has entity_no, name and entity_type; PERSON marks persons.  It is joined in blocks of
-    about `block` names, each broadcast as an inverted index, so what a task holds is bounded
-    however many names are registered; each name keeps its top over all blocks.
-    """
-    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct().repartition(tasks(texts)))
-    registered = registry.where("trim(name) <> ''").groupBy("name").agg(F.min("entity_no").alias("entity_no"), F.max(F.col("entity_type").eqNullSafe("PERSON")).alias("person"))
-    # nicknames of given names: distinct pairs seen in two names at least, 20,000 at most on the driver
-    found = nicknames(distinct).orderBy(F.desc("n"), "nick", "given").limit(20_000).collect()
-    nick: dict[str, set[str]] = {}
-    for p in found:
-        nick.setdefault(fold(p["nick"]), set()).add(fold(p["given"]))
-    n_names = distinct.count()
-    n_blocks = max(1, -(-registered.count() // block))
-
-    def counter():
-        return lambda b: {"grams": [grams(n, nick) for n in b["name"]]}
-
-    # frequencies over all distinct names
-    df = arrow_rows(distinct, "grams array<string>", counter).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    df = cut(df)
-    linked = None
-    for no in range(n_blocks):
-        rows = [(r[0], r[1], r[2]) for r in registered.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == no).select("entity_no", "name", "person").collect()]
-        own = sorted({g for _, n, _ in rows for g in (*grams(n, nick), *(f"={a}" for a in acronyms(n)))})
-        spark = distinct.sparkSession
-        mine = spark.createDataFrame([(g,) for g in own], "gram string")
-        idf = {r["gram"]: math.log(1.0 + n_names / r["df"]) for r in df.join(F.broadcast(mine), "gram", "left_semi").collect()}
-        index = spark.sparkContext.broadcast(Registry(rows, idf, nick))
-
-        def linker(index=index):
+    return xxhash.xxh64_intdigest(gram) % BUCKETS
+
+
+def vector(form: list[str], idf: np.ndarray) -> dict[int, float]:
+    """Unit vector of n-grams, the rarest first; n-grams that no name has are left out."""
+    own = sorted({b for b in map(bucket, form) if idf[b] > 0}, key=lambda b: (-idf[b], b))
+    norm = float(np.sqrt(sum(idf[b] ** 2 for b in own)))
+    return {b: float(idf[b]) / norm for b in own}  # empty where no n-gram is left
+
+
+def early(v: dict[int, float], at_least: float) -> list[int]:
+    """Buckets of a vector up to where the rest of it is shorter than at_least."""
+    rest, out = 1.0, []
+    for b, w in v.items():
+        if rest < max(0.0, at_least - 1e-9) ** 2:
+            break
+        out.append(b)
+        rest -= w * w
+    return out
+
+
+def cosine(u: dict[int, float], v: dict[int, float]) -> float:
+    return sum(w * v[b] for b, w in u.items() if b in v)
+
+
+class Frequencies:
+    """Weights of n-grams, and the nicknames that names are spelled with: what all tasks share."""
+
+    def __init__(self, names: DataFrame):
+        """names (name) are distinct."""
+        found = nicknames(names).orderBy(F.desc("n"), "nick", "given").limit(NICKNAMES).collect()
+        self.nick: dict[str, set[str]] = {}
+        for p in found:
+            self.nick.setdefault(fold(p["nick"]), set()).add(fold(p["given"]))
+        nick = self.nick
+
+        def counter():
             def step(b):
-                reg = index.value
-                known = {r[1] for r in reg.rows}
-                out: dict[str, list] = {k: [] for k in ("name", "entity_no", "cosine", "cost")}
-                for name in b["name"]:
-                    if name in known:
-                        for k, v in zip(out, (name, -1, 2.0, 0.0)):
-                            out[k].append(v)
-                        continue
-                    for row, cosine in reg.near(name, top, at_least):
-                        entity, registered_name, person = reg.rows[row]
-                        cost = reading(name, registered_name, person, reg.nick)
-                        for k, v in zip(out, (name, entity, cosine, cost)):
-                            out[k].append(v)
-                return out
+                n = np.bincount([k for name in b["name"] for k in {bucket(g) for g in grams(name, nick)}] or [0], minlength=1)
+                at = np.flatnonzero(n)
+                return {"bucket": at, "n": n[at]} if b["name"] else {"bucket": [], "n": []}
 
             return step
 
-        part = arrow_rows(distinct, "name string, entity_no long, cosine double, cost double", linker)
-        linked = part if linked is None else linked.unionByName(part)
-    if n_blocks > 1:
-        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cosine"), "entity_no"))
-        linked = linked.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
-    linked = cut(linked.where("cost IS NOT NULL"))
-    exact = linked.where("cosine > 1.5").select("name")
-    return average_linkage(linked.where("cosine <= 1.5").join(exact, "name", "left_anti"), lambda names: unit_vectors(names, df, n_names, nick))
+        # one row a bucket at most
+        rows = arrow_rows(names, "bucket int, n long", counter).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+        n_names = names.count()
+        df = np.zeros(BUCKETS)
+        df[[r["bucket"] for r in rows]] = [r["n"] for r in rows]
+        self.idf = np.where(df > 0, np.log1p(n_names / np.maximum(df, 1)), 0.0)
+
+    def of(self, name: str) -> dict[int, float]:
+        return vector(grams(name, self.nick), self.idf)
+
+    def only(self, buckets: list[int]) -> Frequencies:
+        """The same with the n-grams of these buckets alone."""
+        out = copy(self)
+        out.idf = np.zeros_like(self.idf)
+        out.idf[buckets] = self.idf[buckets]
+        return out
+
+    def forms(self, registered: str) -> list[dict[int, float]]:
+        """A registered name has a vector of its own and one for each acronym."""
+        return [self.of(registered), *(vector([f"={a}"], self.idf) for a in sorted(acronyms(registered)))]
+
+
+def _placed(names: DataFrame, shared, at_least: float, keep: str, registered: bool = False) -> DataFrame:
+    """The columns `keep` (name among them) and bucket: a row for each n-gram that a name is joined on."""
+    columns = [c.split()[0] for c in keep.split(", ")]
+
+    def make():
+        f = shared.value
 
+        def step(b):
+            out: dict[str, list] = {k: [] for k in (*columns, "bucket")}
+            for i, name in enumerate(b["name"]):
+                vectors = f.forms(name) if registered else [f.of(name)]
+                own = sorted({k for v in vectors for k in early(v, at_least)})
+                for c in columns:
+                    out[c] += [b[c][i]] * len(own)
+                out["bucket"] += own
+            return out
 
-def unit_vectors(names: DataFrame, df: DataFrame, n_names: int, nick: dict[str, set[str]]) -> DataFrame:
-    """(name, gram, weight) of distinct names, each of length one; df (gram, df) counts n_names names."""
+        return step
+
+    return arrow_rows(names.select(*columns), f"{keep}, bucket int", make)
+
+
+def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least: float = AT_LEAST) -> DataFrame:
+    """(name, entity_no, cosine) of the distinct names of texts (name) that are variants of registered ones.
+
+    registry has entity_no, name and entity_type; PERSON marks persons.
+    """
+    spark = texts.sparkSession
+    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct().repartition(tasks(texts)))
+    shared = spark.sparkContext.broadcast(Frequencies(distinct))
+    return _links(distinct, registry, shared, top, at_least)
+
+
+def _registered(registry: DataFrame) -> DataFrame:
+    return registry.where("trim(name) <> ''").groupBy("name").agg(F.min("entity_no").alias("entity_no"), F.max(F.col("entity_type").eqNullSafe("PERSON")).alias("person"))
+
+
+def _links(distinct: DataFrame, registry: DataFrame, shared, top: int, at_least: float) -> DataFrame:
+    known = _registered(registry)
+    # n-grams that no registered name has say nothing of which one is meant; one row a bucket at most
+    own = _placed(known.select("name"), shared, 0.0, "name string", registered=True).select("bucket").distinct().collect()
+    shared = distinct.sparkSession.sparkContext.broadcast(shared.value.only([r["bucket"] for r in own]))
+    rows = _placed(known, shared, at_least, "name string, entity_no long, person boolean", registered=True).withColumnRenamed("name", "registered")
+    mine = _placed(distinct.join(known.select("name"), "name", "left_anti"), shared, at_least, "name string")
+    met = mine.join(rows, "bucket").select("name", "registered", "entity_no", "person").distinct()
+
+    def reader():
+        f = shared.value
+        of: dict[str, dict[int, float]] = {}
+        forms: dict[str, list[dict[int, float]]] = {}
+
+        def step(b):
+            out: dict[str, list] = {k: [] for k in ("name", "entity_no", "cosine", "cost")}
+            if len(of) > 100_000 or len(forms) > 100_000:
+                of.clear()
+                forms.clear()
+            for name, registered, entity, person in zip(b["name"], b["registered"], b["entity_no"], b["person"]):
+                v = of.get(name)
+                if v is None:
+                    v = of[name] = f.of(name)
+                own = forms.get(registered)
+                if own is None:
+                    own = forms[registered] = f.forms(registered)
+                c = max(cosine(v, u) for u in own)
+                cost = reading(name, registered, person, f.nick) if c >= at_least - 1e-9 else None
+                if cost is not None:
+                    for k, x in zip(out, (name, entity, c, cost)):
+                        out[k].append(x)
+            return out
+
+        return step
+
+    read = arrow_rows(met, "name string, entity_no long, cosine double, cost double", reader)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cosine"), "entity_no"))
+    linked = cut(read.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank"))
+    return to_entities(linked, lambda names: unit_vectors(names, shared))
+
+
+def unit_vectors(names: DataFrame, shared) -> DataFrame:
+    """(name, gram, weight) of distinct names, each of length one; shared is a broadcast of Frequencies."""
 
     def speller():
-        return lambda b: {"name": b["name"], "grams": [grams(n, nick) for n in b["name"]]}
+        f = shared.value
+
+        def step(b):
+            got = [(n, k, w) for n in b["name"] for k, w in f.of(n).items()]
+            return dict(zip(("name", "gram", "weight"), map(list, zip(*got)))) if got else {k: [] for k in ("name", "gram", "weight")}
 
-    each = arrow_rows(names.select("name"), "name string, grams array<string>", speller).select("name", F.explode("grams").alias("gram"))
-    weighed = each.join(df, "gram").select("name", "gram", F.log(1 + F.lit(n_names) / F.col("df")).alias("w"))
-    norms = weighed.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, "name").select("name", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+        return step
 
+    return arrow_rows(names.select("name"), "name string, gram int, weight double", speller)
 
-def average_linkage(pairs: DataFrame, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def to_entities(pairs: DataFrame, vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(name, entity_no, cosine): each name with the entity whose cluster it is nearest to.
 
     pairs (name, entity_no, cosine, cost): the links that passed.  vectors gives (name, gram, weight) of
@@ -336,7 +400,100 @@ def average_linkage(pairs: DataFrame, vectors: Callable[[DataFrame], DataFrame])
     return sure.unionByName(best.where("rank = 1 AND linkage > next + 1e-9").select("name", "entity_no", "cosine"))
 
 
+def similar_names(names: DataFrame, shared, at_least: float = VARIANTS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, cosine), a < b, of at_least or more, and classes (name, first): names of one vector are one, under the first of them.
+
+    names (name) are distinct.
+    """
+
+    def speller():
+        import xxhash
+
+        f = shared.value
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+        def step(b):
+            codes = [repr(sorted(f.of(n))) for n in b["name"]]
+            return {"name": b["name"], "v1": [signed(xxhash.xxh64_intdigest(c)) for c in codes], "v2": [signed(xxhash.xxh64_intdigest(c, 1)) for c in codes], "blank": [c == "[]" for c in codes]}
+
+        return step
+
+    spelled = cut(arrow_rows(names.select("name"), "name string, v1 long, v2 long, blank boolean", speller).where("NOT blank"))
+    firsts = spelled.groupBy("v1", "v2").agg(F.min("name").alias("first"))
+    classes = cut(spelled.join(firsts, ["v1", "v2"]).select("name", "first"))
+    rows = cut(_placed(classes.where("name = first"), shared, at_least, "name string"))
+    met = rows.alias("x").join(rows.alias("y"), "bucket").where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+
+    def measurer():
+        f = shared.value
+        of: dict[str, dict[int, float]] = {}
+
+        def step(b):
+            if len(of) > 100_000:
+                of.clear()
+            for n in {*b["a"], *b["b"]}:
+                if n not in of:
+                    of[n] = f.of(n)
+            return {"a": b["a"], "b": b["b"], "cosine": [cosine(of[x], of[y]) for x, y in zip(b["a"], b["b"])]}
+
+        return step
+
+    return arrow_rows(met, "a string, b string, cosine double", measurer).where(F.col("cosine") >= at_least - 1e-9), classes
+
+
+def average_linkage(pairs: DataFrame, at_least: float = VARIANTS) -> DataFrame:
+    """(name, cluster): names grouped while the mean cosine of two clusters is at_least or more; a cluster bears its least name.
+
+    pairs (a, b, cosine), a < b; those not given count as 0.  In each round all clusters that are each other's nearest
+    are joined.  A joined cluster is never nearer to a third than the nearer of its parts was, so this makes the
+    clusters that joining one pair at a time would.  Sums of cosines and sizes are relations; no
+    cluster or component reaches one task.  Names without a pair do not appear.
+    """
+    e = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cosine").alias("s")))
+    names = cut(e.select(F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("cluster", F.col("name")))
+    while True:
+        size = names.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        mean = e.join(size.select(F.col("c").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("c").alias("v"), F.col("n").alias("nv")), "v")
+        near = mean.withColumn("mean", F.round(F.col("s") / (F.col("nu") * F.col("nv")), 12)).where(F.col("mean") >= at_least - 1e-9)
+        order = F.struct((-F.col("mean")).alias("m"), "u", "v")
+        best = near.select(F.explode(F.array("u", "v")).alias("c"), order.alias("o")).groupBy("c").agg(F.min("o").alias("o"))
+        joined = cut(best.groupBy(F.col("o.u").alias("to"), F.col("o.v").alias("gone")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("to", "gone"))
+        if joined.isEmpty():
+            return names
+        now = lambda df, c: df.join(joined.withColumnRenamed("gone", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        moved = now(now(e, "u"), "v").where("u <> v")
+        e = cut(moved.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("s").alias("s")))
+        names = cut(now(names, "cluster"))
+
+
+def cluster_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least: float = AT_LEAST, variants: float = VARIANTS) -> DataFrame:
+    """(name, cluster, entity_no) of the distinct names of texts (name): the least name of its cluster, and the registered entity where it is one's.
+
+    Names that mean a registered entity are in its cluster, with the registered name; the others are
+    grouped with one another.
+    """
+    spark = texts.sparkSession
+    distinct = cut(texts.where("trim(name) <> ''").select("name").distinct().repartition(tasks(texts)))
+    shared = spark.sparkContext.broadcast(Frequencies(distinct))
+    known = _registered(registry)
+    own = distinct.join(known.select("name", "entity_no"), "name")
+    linked = cut(_links(distinct, registry, shared, top, at_least).select("name", "entity_no").unionByName(own).distinct())
+    least = linked.groupBy("entity_no").agg(F.min("name").alias("cluster"))
+    others = cut(distinct.join(linked.select("name"), "name", "left_anti"))
+    pairs, classes = similar_names(others, shared, variants)
+    grouped = average_linkage(pairs, variants).withColumnRenamed("name", "first")
+    free = classes.join(grouped, "first", "left").select("name", F.coalesce("cluster", "first").alias("cluster"))
+    free = others.join(free, "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))
+    return linked.join(least, "entity_no").select("name", "cluster", "entity_no").unionByName(free.withColumn("entity_no", F.lit(None).cast("long")))
+
+
 def names_of(triples: DataFrame) -> DataFrame:
     """(triple_no, side, name) of all heads and tails."""
     sides: Column = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("name")) for s in ("head", "tail")))
     return triples.select("triple_no", F.explode(sides).alias("s")).select("triple_no", "s.side", "s.name").where("name IS NOT NULL")
+
+
+def entity_names(triples: DataFrame) -> DataFrame:
+    """(name) of the heads and tails whose type is person or organisation, however it is formatted."""
+    sides = F.array(*(F.struct(F.col(s).alias("name"), letters_digits(F.col(f"{s}_type")).alias("kind")) for s in ("head", "tail")))
+    return triples.select(F.explode(sides).alias("s")).select("s.name", "s.kind").where("name IS NOT NULL").where(F.col("kind").isin("person", "org", "organisation", "organization")).select("name")
