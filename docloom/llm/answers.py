@@ -3,7 +3,7 @@
 The response of each pair gets the first defect that applies:
 
 * empty: null, blank, without letters and digits, or a placeholder;
-* copied: most of its runs of words, or its text as a whole, stand in the prompt;
+* copied: most of its runs of words, or its text as a whole, stand in the prompt, or most of it is the prompt's beginning;
 * refusal: it declines the task, in any of the languages;
 * other_language: the language posteriors of prompt and response, by naive Bayes over character
   n-grams, are sure and differ, and no sentence of the prompt is in the response's language;
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -204,7 +205,7 @@ def copied(prompt: str, response: str) -> bool:
     if not plain:
         return False
     head = _PLAIN.sub("", prompt[: 4 * len(body) + 200].lower())
-    if len(plain) >= 20 and (plain in head or plain in _PLAIN.sub("", prompt.lower()) or head.startswith(plain[:200]) and len(plain) > 40):
+    if len(plain) >= 20 and (plain in head or plain in _PLAIN.sub("", prompt.lower()) or len(plain) > 40 and len(commonprefix((head, plain))) >= COPIED * len(plain)):
         return True
     d = _TOKEN.findall(body.lower())
     if len(d) < RUN + 3:
