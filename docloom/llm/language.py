@@ -12,8 +12,8 @@ likelihoods 2^-bits, with bits divided by TEMPER because words of a text depend
 A text is segmented by the cheapest path over its sentences, a change of language costing
 SWITCH bits.
 
-Training takes a bounded sample of labelled texts (SAMPLE rows of each table, by hash of the row
-number); labels are checked by training twice: texts whose code is shortest in another language
+Training takes a bounded sample of labelled texts (about SAMPLE rows of each table, in even shares of the languages, by hash
+of the row number); labels are checked by training twice: texts whose code is shortest in another language
 than their label's are left out of the second training.
 
 Defined cases: null, empty and blank texts and those without a letter have no language (null,
@@ -104,7 +104,7 @@ class WordBits(dict):
         no = len(self)
         if no == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        bits = np.array([t.word_bits(word[:64].lower()) for t in self.trees])
+        bits = np.array([t.word_bits(word.lower()) for t in self.trees])
         self.table[no] = np.minimum(bits - bits.min(), CLIP) * (NAME if word[0].isupper() and not (len(word) > 3 and word.isupper()) else 1.0)
         self[word] = no
         return no
@@ -150,12 +150,15 @@ def train(rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -
 
 
 def labelled_sample(df: DataFrame, number: str, text: str, label: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """About sample labelled rows, picked by hash of their number: at most twice as many reach the driver."""
-    n = df.count()
+    """About sample labelled rows with their whole texts, as many of each language as there are, up to its even share; picked by hash of their number."""
     df = df.where(F.col(label).isin(*LANGUAGES) & F.col(text).isNotNull())
-    if n > sample:
-        df = df.where(F.pmod(F.xxhash64(F.lit("language"), F.col(number)), F.lit(-(-n // sample))) == 0)
-    return [(r[0], r[1]) for r in df.select(label, F.substring(text, 1, 2000)).limit(2 * sample).collect()]
+    share = -(-sample // len(LANGUAGES))
+    every = {r[label]: -(-r["count"] // share) for r in df.groupBy(label).count().collect()}
+    if not every:
+        return []
+    step = F.create_map(*(F.lit(x) for kv in every.items() for x in kv))[F.col(label)]
+    kept = df.where(F.pmod(F.xxhash64(F.lit("language"), F.col(number)), step) == 0)
+    return [(r[0], r[1]) for r in kept.select(label, text).collect()]
 
 
 def label_texts(df: DataFrame, keys: dict[str, str], trees) -> DataFrame:
@@ -228,7 +231,7 @@ def segment_texts(df: DataFrame, keys: dict[str, str], trees) -> DataFrame:
                 if not words.sum():
                     continue
                 main = int(mine.sum(axis=0).argmin())
-                if ((mine[:, main] - low) > SWITCH).any():
+                if (mine[:, main] - low).sum() > SWITCH:  # else no change of language can pay
                     langs = path(mine)
                 else:
                     langs = [main] * m
