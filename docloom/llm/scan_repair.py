@@ -77,11 +77,11 @@ def unspaced(line: str) -> str:
 def title_words(line: str) -> list[str] | None:
     """Words of a line set like a title, in lower case; None for any other line."""
     s = line.strip()
-    if not 3 < len(s) < 260 or s[-1] in ".,;!?" or _ITEM.match(s) and not PAGE_BEFORE.match(s):
+    if len(s) <= 3 or s[-1] in ".,;!?" or _ITEM.match(s) and not PAGE_BEFORE.match(s):
         return None
     s = unspaced(s)
     words = _LETTERS.findall(s.replace("@", "a").replace("†", "t"))
-    if not words or len(s) > 140:
+    if not words:
         return None
     for w in words:
         if w[0].islower() and len(w) > 3:
@@ -101,7 +101,7 @@ def counts(texts: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("word", "n_text", "n_cap", "file", "key", "text_no")}
             for t, file in zip(b["text"], b["file"]):
                 for line in t.split("\n"):
-                    words = title_words(line) if len(line) < 260 else None
+                    words = title_words(line)
                     if words is None:
                         run.update(WORD.findall(line))
                     else:
@@ -215,7 +215,7 @@ class Repairer:
         if got is None:
             got = ()
             letters = sum(c.isalpha() for c in token)
-            sites = _READ.findall(token) if 3 <= len(token) <= 24 and letters * 2 > len(token) and len(token) - letters <= DISTANCE else []
+            sites = _READ.findall(token) if len(token) >= 3 and letters * 2 > len(token) and len(token) - letters <= DISTANCE else []
             if sites and not re.fullmatch(r"[a-z]\d+", token):
                 own = self.n.get(token, 0)
                 # one shape of one letter is one edit; more of them, or one of two letters, are two
@@ -233,7 +233,7 @@ class Repairer:
     def furniture(self, line: str) -> tuple[bool, bool]:
         """Whether a line is a running header, and whether it is or has a printed page number."""
         s = line.strip()
-        if not s or len(s) > 260:
+        if not s:
             return False, False
         if PAGE_LINE.fullmatch(s) and not re.fullmatch(r"[\s|:-]*", s) and not s.startswith("|"):
             return False, True
