@@ -85,18 +85,25 @@ def test_token_ids_exact(spark):
     enc = token_ids.Encoder(token_ids.default_ranks())
 
     @settings(max_examples=150, deadline=None)
-    @given(st.lists(st.sampled_from(["a", " b", "  ", "\n", "'ll", "1", "é", "😀", "!?", "word", "​", "漢字", "<|endoftext|>", "\t", " " * 200, "x" * 150]), max_size=120))
-    def exact(parts):
-        text = "".join(parts)
-        own = token_ids.chunks(text)
-        assert "".join(own) == text
-        got = token_ids.join_chunks(enc, [(c, *token_ids.encode_chunk(enc, c)) for c in own])
+    @given(st.lists(st.sampled_from(["a", " b", "  ", "\n", "'ll", "1", "é", "😀", "!?", "word", "​", "漢字", "<|endoftext|>", "\t", " " * 200, "x" * 150]), max_size=120), st.sampled_from([1, 20]))
+    def exact(parts, many):
+        text = "".join(parts) * many
+        own, again = token_ids.chunks([text, "z" * 3000 + text])
+        assert "".join(own) == text and "".join(again) == "z" * 3000 + text
+        assert own == token_ids.chunks(["first " * 500, text])[1]
+        got = token_ids.join_chunks(enc, [token_ids.encode_chunk(enc, c) for c in own])
         assert got == enc.bpe.encode_ordinary(text)
 
     exact()
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "ab " * 3000), (4, "ab " * 3000), (4, "ab " * 3000)], "doc_id long, text string")
+    r = random.Random(8)
+    word = lambda: r.choice(["harbour", "wall", "it's", "x1", "漢字", "–", "\n", "moved,", "é"])
+    shared = " ".join(word() for _ in range(4000))
+    texts = [shared, "a" + shared, " ".join(word() for _ in range(50)) + shared + "b", shared[500:] + " c" * 900, "ab " * 3000, "漢字" * 9000, " " * 9000]
+    rows_ = [(1, None), (2, ""), *((3 + i, t) for i, t in enumerate(texts)), (7, texts[4]), (7, texts[4]), (90, texts[4])]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
     got = [(r["doc_id"], r["ids"]) for r in token_ids.token_ids(docs).collect()]
-    assert sorted(got) == sorted([(1, []), (2, []), *[(i, enc.bpe.encode_ordinary("ab " * 3000)) for i in (3, 4, 4)]])
+    assert sorted(got) == sorted((i, enc.bpe.encode_ordinary(t) if t else []) for i, t in rows_)
+    assert len({c for t in texts[:4] for c in token_ids.chunks([t])[0]}) < sum(len(token_ids.chunks([t])[0]) for t in texts[:4])
 
 
 def test_mix_shares(spark):
@@ -231,21 +238,65 @@ def test_names():
     assert names.edits("abcd", "abdc", 2) == 1 and names.edits("abcd", "wxyz", 2) == 3
 
 
-def test_names_in_blocks(spark):
+def test_names_linked(spark):
     reg = spark.createDataFrame([(1, "Robert C. Talmoovic", "PERSON"), (2, "Galsasky Power S.A.", "ORG"), (3, "Søren Wobrumonau", "PERSON")], "entity_no long, name string, entity_type string")
     n = spark.createDataFrame([(x,) for x in ("R. C. Talmoovic", "galsasky power s.a.", "Wobrumonau, Soren", "Robert C. Talmoovic", "Elizabeth Wobrumonau", " ", None)], "name string")
     want = {("R. C. Talmoovic", 1), ("galsasky power s.a.", 2), ("Wobrumonau, Soren", 3)}
-    for block in (10, 1):
-        assert {(r["name"], r["entity_no"]) for r in names.link_names(n, reg, block=block).collect()} == want
-
-
-def test_average_linkage(spark):
+    for top in (12, 1):
+        assert {(r["name"], r["entity_no"]) for r in names.link_names(n, reg, top=top).collect()} == want
+
+
+def test_name_join_loses_no_pair(spark):
+    r = random.Random(4)
+    made = sorted({" ".join("".join(r.choice("abeiklnorst") for _ in range(r.randint(3, 7))) for _ in range(2)) for _ in range(60)})
+    made += [n[:i] + n[i + 1 :] for n in made[:40] for i in (2, 4)] + [" ".join(reversed(n.split())) for n in made[:10]]
+    df = spark.createDataFrame([(n,) for n in sorted(set(made))], "name string")
+    f = names.Frequencies(df)
+    pairs, classes = names.similar_names(df, spark.sparkContext.broadcast(f), 0.6)
+    got = {(x["a"], x["b"]) for x in pairs.collect()}
+    first = {x["name"]: x["first"] for x in classes.collect()}
+    reps = sorted(set(first.values()))
+    want = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if names.cosine(f.of(a), f.of(b)) >= 0.6}
+    assert got == want and len(want) > 20
+    assert all(f.of(a).keys() == f.of(b).keys() for a, b in first.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_average_linkage_equals_single_steps(spark, seed):
+    r = random.Random(seed)
+    near = {(a, b): round(r.uniform(0.5, 1.0), 3) for a in range(14) for b in range(a + 1, 14) if r.random() < 0.45}
+    df = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", s) for (a, b), s in near.items()], "a string, b string, cosine double")
+    got: dict = {}
+    for x in names.average_linkage(df, 0.6).collect():
+        got.setdefault(x["cluster"], set()).add(x["name"])
+    groups = [{x} for x in sorted({x for p in near for x in p})]
+    mean = lambda p, q: sum(near.get((min(x, y), max(x, y)), 0) for x in p for y in q) / (len(p) * len(q))
+    while len(groups) > 1:
+        best = max(((mean(p, q), -i, -j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j))
+        if best[0] < 0.6:
+            break
+        p, q = groups[-best[1]], groups[-best[2]]
+        groups = [g for g in groups if g is not p and g is not q] + [p | q]
+        groups.sort(key=min)
+    assert {frozenset(f"n{x:02}" for x in g) for g in groups} == {frozenset(g) for g in got.values()}
+
+
+def test_clusters_of_unregistered_names(spark):
+    reg = spark.createDataFrame([(1, "Robert C. Talmoovic", "PERSON")], "entity_no long, name string, entity_type string")
+    every = ["R. C. Talmoovic", "Robert C. Talmoovic", "Galsasky Power Ltd", "Galsasky Pwer Ltd", "Power Galsasky", "Wobrumonau Mills", " ", None]
+    got = {x["name"]: (x["cluster"], x["entity_no"]) for x in names.cluster_names(spark.createDataFrame([(n,) for n in every], "name string"), reg, variants=0.6).collect()}
+    assert got["R. C. Talmoovic"] == got["Robert C. Talmoovic"] == ("R. C. Talmoovic", 1)
+    assert got["Galsasky Power Ltd"] == got["Galsasky Pwer Ltd"] == got["Power Galsasky"] == ("Galsasky Power Ltd", None)
+    assert got["Wobrumonau Mills"] == ("Wobrumonau Mills", None) and len(got) == 6
+
+
+def test_names_to_entities_by_linkage(spark):
     """A name that reads as two persons goes to the cluster of the higher mean cosine, and to none at equal ones."""
     registry = spark.createDataFrame([(1, "Robert Talmoovic", "PERSON"), (2, "Rachel Talmoovic", "PERSON"), (3, "Anna Polmonotti", "PERSON"), (4, "Arno Polmonotti", "PERSON")], "entity_no long, name string, entity_type string")
     clusters = {1: ["Robert Talmoovic", "Robbert Talmoovic", "Robert Talmoovik"], 2: ["Rachel Talmoovic"]}
     every = sorted({n for c in clusters.values() for n in c} | {"R. Talmoovic", "A. Polmonotti"})
     got = {r["name"]: r["entity_no"] for r in names.link_names(spark.createDataFrame([(n,) for n in every], "name string"), registry).collect()}
-    df = Counter(g for n in every for g in names.grams(n, {}))
+    df = Counter(g for n in every for g in names.grams(n, {}))  # no two of these n-grams share a bucket
 
     def cosine(a, b):
         u, v = ({g: np.log(1 + len(every) / df[g]) for g in names.grams(n, {}) if g in df} for n in (a, b))
@@ -256,9 +307,9 @@ def test_average_linkage(spark):
     assert got["Robbert Talmoovic"] == got["Robert Talmoovik"] == 1
     tie = spark.createDataFrame([("x", 1, 0.5, 0.2), ("x", 2, 0.5, 0.3), ("y", 1, 0.4, 0.1)], "name string, entity_no long, cosine double, cost double")
     flat = lambda d: d.select("name", F.lit("g").alias("gram"), F.lit(0.5).alias("weight"))
-    assert {r["name"] for r in names.average_linkage(tie.where("name = 'x'"), flat).collect()} == set()
+    assert {r["name"] for r in names.to_entities(tie.where("name = 'x'"), flat).collect()} == set()
     # with y in its cluster the mean of 1 is (0.5 + 0.25) / 2, below that of 2
-    assert {(r["name"], r["entity_no"]) for r in names.average_linkage(tie, flat).collect()} == {("x", 2), ("y", 1)}
+    assert {(r["name"], r["entity_no"]) for r in names.to_entities(tie, flat).collect()} == {("x", 2), ("y", 1)}
 
 
 def test_answers(spark):
@@ -293,13 +344,46 @@ def test_endings_count_all_rows(spark):
 def test_toxicity_held_out(spark, small):
     r = [(x["text"], x["label"]) for x in spark.read.parquet(f"{small}/review_samples.parquet").collect()]
     chain = toxicity.Chain(r)
+    # sentences of one beginning are held out together, and with them names of groups and words of harmless mentions
     for c in toxicity.CHAIN:
         told = Counter((lab == c, p >= 0.5) for (_, lab), p in zip(r, chain.held_out[c]))
-        assert told[True, True] >= 0.9 * (told[True, True] + told[True, False])
-        assert told[True, True] >= 0.9 * (told[True, True] + told[False, True])
+        assert told[True, True] >= 0.8 * (told[True, True] + told[True, False])
+        assert told[True, True] >= 0.85 * (told[True, True] + told[False, True])
     assert chain.score(None) == chain.score("") == (0.0, 0.0, 0.0)
     assert chain.score("The pump was moved. Y o u are a w0rthless idi*t!")[toxicity.CHAIN.index("abusive")] >= 0.5
     assert toxicity.Chain([]).score("You are an idiot") == (0.0, 0.0, 0.0)
+    # words outside the lists weigh too: a sentence without any listed word has a score of its own
+    plain, learned = chain.score("The pump stands here."), chain.score("Nobody wants this, whoever wrote it.")
+    assert 0 < plain[toxicity.CHAIN.index("abusive")] < learned[toxicity.CHAIN.index("abusive")] < 0.5
+
+
+def test_copies_refusals_and_headers_of_any_length():
+    start = "".join(f"pump {i} stands by tank {i * 7}. " for i in range(12))
+    new = "".join(f"Then wall {i * 3} was built of {i} stones in the yard. " for i in range(60))
+    assert len(start) > 200 and not answers.copied(start + "old end", start + new) and answers.copied(start + "old end and more of it", start + "new end.")
+    line = " ".join(["Proceedings", "Volume", "Society"] * 12)
+    rep = scan_repair.Repairer([(w, 5000) for w in "the pump was moved".split()], {"proceedings"})
+    assert len(line) > 300 and rep.repair(f"The pump\n{line}\nwas moved.") == ("The pump was moved.", ["header"])
+    long = "extraordinarilyoverspecialised"
+    rep = scan_repair.Repairer([(long, 5000)], set())
+    assert rep.candidates(long.replace("m", "rn", 1)) == () and rep.candidates(long.replace("i", "1", 1)) == (long,)
+
+
+def test_short_foreign_sentences_at_the_end(spark):
+    """Several sentences that are each too short to pay a change of language pay it together."""
+    trees = language.train([("eng", "the harbour wall was moved next to the old furnace with staff"), ("deu", "das alte lager wurde neben der mauer und mit den leuten gebaut")] * 30)
+    text = "The harbour wall was moved next to the old furnace. " * 2 + "Der alte gebaut und. " * 4
+    bits, n = language.WordBits(trees).of(["Der alte gebaut und."])
+    b = spark.sparkContext.broadcast(trees)
+    got = language.segment_texts(spark.createDataFrame([(1, text)], "k long, text string"), {"k": "long"}, b).collect()
+    assert [x["lang"] for x in got] == ["eng", "deu"]
+
+
+def test_languages_are_sampled_in_even_shares(spark):
+    df = spark.createDataFrame([(i, "x", "eng") for i in range(3000)] + [(5000 + i, "y" * 9000, "por") for i in range(20)] + [(9000, None, "deu"), (9001, "z", "xx")], "no long, text string, lang string")
+    got = Counter(lab for lab, _ in language.labelled_sample(df, "no", "text", "lang", 600))
+    assert got["por"] == 20 and 60 < got["eng"] < 150 and set(got) == {"eng", "por"}
+    assert all(len(t) == 9000 for lab, t in language.labelled_sample(df, "no", "text", "lang", 600) if lab == "por")
 
 
 def test_element_fields(spark):
