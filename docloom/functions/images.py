@@ -110,6 +110,25 @@ def perceptual_hash(b64: Column) -> Column:
     return F.pandas_udf(_hashes, "long")(b64)
 
 
+def _info(data: pd.Series) -> pd.DataFrame:
+    def one(x):
+        try:
+            head = base64.b64decode(x[:64]) if x else b""
+        except ValueError:
+            head = b""
+        if not head.startswith(SIGNATURE) or len(head) < 24:
+            return None, None, None
+        return ("image/png", *struct.unpack(">II", head[16:24]))
+
+    rows = [one(x) for x in data]
+    return pd.DataFrame({"mimetype": [r[0] for r in rows], "width": pd.array([r[1] for r in rows], "Int32"), "height": pd.array([r[2] for r in rows], "Int32")})
+
+
+def info(b64: Column) -> Column:
+    """Struct of mimetype, width and height of a PNG picture in base64; nulls for anything else."""
+    return F.pandas_udf(_info, "mimetype string, width int, height int")(b64)
+
+
 def to_base64(data: Column) -> Column:
     return F.base64(data)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def markdown_header(names: list[str]) -> str:
     return "| " + " | ".join(names) + " |\n|" + "---|" * len(names)
 
 
+def markdown_table(rows: DataFrame, columns: list[str], group: list[str], order: str) -> DataFrame:
+    """(*group, markdown): a table for each group with a header, a separator and the rows in order.
+
+    A table becomes one text, so a group is what one prompt can hold.
+    """
+    row = F.struct(F.col(order).alias("o"), markdown_row([F.col(c) for c in columns]).alias("r"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]), "\n")
+    return rows.groupBy(*group).agg(F.concat(F.lit(markdown_header(columns) + "\n"), lines).alias("markdown"))
+
+
 def data_uri(b64: Column, mimetype: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{mimetype};base64,"), b64)
 

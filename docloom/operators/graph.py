@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schemas import EDGE, NODE
 from ..session import cut
+from ..sources.readers import open_store
 
 
 def _named(triples: DataFrame) -> DataFrame:
@@ -42,6 +44,23 @@ def upsert_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+def upsert_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes of new that are not stored yet, each once."""
+    return new.dropDuplicates(["node"]).join(stored.select("node"), "node", "left_anti")
+
+
+def store_graph(spark: SparkSession, nodes_: DataFrame, edges_: DataFrame, path: str) -> None:
+    """Add nodes and edges to the graph stored in a folder; those it has already stay as they are, so storing twice adds nothing."""
+    have_nodes, have_edges = open_graph(spark, path)
+    for new, at in ((upsert_nodes(have_nodes, nodes_), "nodes"), (upsert_edges(have_edges, edges_), "edges")):
+        new.write.mode("append").parquet(f"{path}/{at}")
+
+
+def open_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a stored graph, empty before its first write."""
+    return open_store(spark, f"{path}/nodes", NODE), open_store(spark, f"{path}/edges", EDGE)
+
+
 def set_property(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value)
 

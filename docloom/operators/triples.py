@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import Generate, generate
-from ..functions.text import screaming_snake
+from ..functions.text import screaming_snake, title_case
 from ..schemas import GRAPH_ANSWER
 
 #: Cells that state nothing, in lower case.
@@ -82,3 +82,10 @@ def language_code(c: Column) -> Column:
     base = F.lower(F.regexp_extract(F.trim(c), "^([A-Za-z]{2,3})(?:[-_][A-Za-z]{2,4})?$", 1))
     table = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
     return F.when(base.isin(*CODES.values()), base).otherwise(table[base])
+
+
+def normal_entity(c: Column) -> Column:
+    """An entity's name in one form: no quotes or brackets around it, single spaces, no closing full stop, shouted words in title case."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[\s\"'(\[«“]+|[\s\"')\]»”.,;]+$", "")
+    shouted = (F.upper(bare) == bare) & bare.rlike(r"\p{L}{4}")
+    return F.when(shouted, title_case(bare)).otherwise(bare)

@@ -61,6 +61,18 @@ def last_delivery(spark, d):
     return store.new_rows(e, e.limit(0), "elem_no").select("id", "elem_no")
 
 
+@query("SELECT id FROM elements")
+def key_scan(spark, d):
+    return readers.store_keys(read(spark, d, "elements"))
+
+
+@query("""SELECT v.id, e.type FROM (SELECT DISTINCT doc_id AS id FROM vector_rows WHERE doc_id IS NOT NULL) v LEFT JOIN (SELECT id, max(elem_no) AS elem_no, arg_max(type, elem_no) AS type FROM elements WHERE type IS NOT NULL GROUP BY id) e ON e.id = v.id""")
+def multi_get(spark, d):
+    keys = read(spark, d, "vector_rows").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    e = read(spark, d, "elements").where("type IS NOT NULL").groupBy("id").agg(F.max_by("type", "elem_no").alias("type"))
+    return readers.multi_get(keys, e)
+
+
 @query("SELECT type, count(*) AS n FROM (SELECT 'text' AS type FROM documents UNION ALL SELECT 'table' FROM nation UNION ALL SELECT 'image' FROM embeddings) GROUP BY type")
 def type_union(spark, d):
     one = lambda t, c: read(spark, d, t).select(F.col(c).cast("string").alias("content"))
@@ -290,6 +302,11 @@ def table_markdown(spark, d):
     return read(spark, d, "nation").select("n_nationkey", text.markdown_row([F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey")]).alias("row"))
 
 
+@query("""SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey""")
+def table_text(spark, d):
+    return text.markdown_table(read(spark, d, "nation"), ["n_nationkey", "n_name"], ["n_regionkey"], "n_nationkey")
+
+
 @query("""SELECT head, upper(relation) AS relation, tail FROM (UNPIVOT (SELECT p_name AS head, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part) ON p_brand, p_type, p_size INTO NAME relation VALUE tail) WHERE tail <> ''""")
 def table_triples(spark, d):
     return triples.table_triples(read(spark, d, "part"), "p_name", ["p_brand", "p_type", "p_size"]).select("head", "relation", "tail")
@@ -328,6 +345,12 @@ def triples_by_document(spark, d):
     return e.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+@query(r"""WITH b AS (SELECT triple_no, regexp_replace(regexp_replace(head, '\\s+', ' ', 'g'), '^[\\s"''(\\[«“]+|[\\s"'')\\]»”.,;]+$', '', 'g') AS bare FROM triples)
+    SELECT triple_no, CASE WHEN upper(bare) = bare AND regexp_matches(bare, '\\p{L}{4}') THEN array_to_string(list_transform(regexp_extract_all(bare, '\\p{L}+|[^\\p{L}]+'), lambda x: upper(x[1]) || lower(x[2:])), '') ELSE bare END AS entity FROM b""".replace("\\\\", "\\"))
+def entity_forms(spark, d):
+    return read(spark, d, "triples").select("triple_no", triples.normal_entity(F.col("head")).alias("entity"))
+
+
 # --- graph
 
 _T = "(SELECT * FROM triples WHERE head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL)"
@@ -384,19 +407,28 @@ def kg_degrees(spark, d):
     return graph.degrees(graph.edges(read(spark, d, "triples")))
 
 
-_ORGS = "(SELECT DISTINCT head AS a FROM triples WHERE head_type = 'ORG' AND length(head) > 2)"
+_KIND = "lower(regexp_replace({0}_type, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) IN ('person', 'org')"
+_NAMED = " UNION ".join(f"SELECT {s} AS a FROM triples WHERE {_KIND.format(s)} AND length({s}) > 2" for s in ("head", "tail"))
+_ORGS = f"({_NAMED})"
+# that function counts bytes; here each letter beyond ASCII is one
+_LETTERS = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÉÖÜ"
+_EDITS = f"levenshtein(translate(x.a, '{_LETTERS}', {' || '.join(f'chr({i + 1})' for i in range(len(_LETTERS)))}), translate(y.a, '{_LETTERS}', {' || '.join(f'chr({i + 1})' for i in range(len(_LETTERS)))}))"
 
 
 def _close_names(spark, d) -> DataFrame:
-    return graph.resolve_names(read(spark, d, "triples").where("head_type = 'ORG'"), "head")
+    """Near names among all heads and tails of persons and organisations, however their types are formatted."""
+    t = read(spark, d, "triples")
+    kind = lambda s: F.lower(F.regexp_replace(f"{s}_type", r"[^\p{L}\p{N}]+", "")).isin("person", "org")
+    named = lambda s: t.where(kind(s)).select(F.col(s).alias("name"))
+    return graph.resolve_names(named("head").unionByName(named("tail")), "name")
 
 
-@query(f"SELECT x.a, y.a AS b, CAST(levenshtein(x.a, y.a) AS BIGINT) AS distance FROM {_ORGS} x JOIN {_ORGS} y ON x.a < y.a AND levenshtein(x.a, y.a) <= 2")
+@query(f"SELECT x.a, y.a AS b, CAST({_EDITS} AS BIGINT) AS distance FROM {_ORGS} x JOIN {_ORGS} y ON x.a < y.a AND abs(length(x.a) - length(y.a)) <= 2 AND {_EDITS} <= 2")
 def entity_resolution(spark, d):
     return _close_names(spark, d)
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT x.a, y.a AS b FROM {_ORGS} x JOIN {_ORGS} y ON x.a <> y.a AND levenshtein(x.a, y.a) <= 2),
+@query(f"""WITH RECURSIVE l AS (SELECT x.a, y.a AS b FROM {_ORGS} x JOIN {_ORGS} y ON x.a <> y.a AND abs(length(x.a) - length(y.a)) <= 2 AND {_EDITS} <= 2),
     r(node, other) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a) SELECT node, min(other) AS component FROM r GROUP BY node""")
 def name_components(spark, d):
     return graph.components(_close_names(spark, d))
@@ -421,21 +453,12 @@ def picture_hashes(spark, d):
     return read(spark, d, "elements").where("type = 'image'").select("elem_no", images.perceptual_hash(F.col("content")).alias("hash"), F.length(images.from_base64(F.col("content"))).alias("n_bytes"))
 
 
-@query("SELECT elem_no, CAST(octet_length(try(from_base64(content))) AS BIGINT) AS n_bytes FROM elements WHERE type = 'image' AND regexp_full_match(content, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?')")
+@query("SELECT elem_no, CASE WHEN regexp_full_match(content, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') THEN CAST(octet_length(try(from_base64(content))) AS BIGINT) ELSE -1 END AS n_bytes FROM elements WHERE type = 'image'")
 def picture_bytes(spark, d):
     from ..functions import images
 
-    own = read(spark, d, "elements").where("type = 'image'").where(F.col("content").rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
-    return own.select("elem_no", F.length(images.from_base64(F.col("content"))).cast("long").alias("n_bytes"))
-
-
-@query(f"""WITH n AS (SELECT node, arg_max(type, (CASE WHEN type IS NULL THEN 0 ELSE 1 END, n, -length(type), type)) AS type FROM (SELECT node, type, count(*) AS n FROM {_ENDS} GROUP BY ALL) GROUP BY node)
-    SELECT '{{"id":' || to_json(node) || ',"label":' || to_json(node) || coalesce(',"group":' || to_json(type) || ',"title":' || to_json(type), '') || '}}' AS json, 'node' AS kind FROM n
-    UNION ALL SELECT '{{"from":' || to_json(head) || ',"to":' || to_json(tail) || ',"label":' || to_json(relation) || ',"arrows":"to"}}', 'edge' FROM (SELECT DISTINCT head, relation, tail FROM {_T})""")
-def kg_render(spark, d):
-    t = read(spark, d, "triples")
-    n, e = graph.render(graph.nodes(t), graph.edges(t))
-    return n.withColumn("kind", F.lit("node")).unionByName(e.withColumn("kind", F.lit("edge")))
+    whole = F.col("content").rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return read(spark, d, "elements").where("type = 'image'").select("elem_no", F.when(whole, F.length(images.from_base64(F.col("content")))).otherwise(F.lit(-1)).cast("long").alias("n_bytes"))
 
 
 # --- streaming
@@ -450,5 +473,5 @@ def stream_ingest(spark, d):
     path = f"{d}/documents.parquet"
     folder, pattern = (path, None) if os.path.isdir(path) else (d, "documents.parquet")
     to = lambda b: b.select(F.col("text").alias("content"), "filename", F.lit("").alias("context"), F.lit("").alias("description"), "type", F.to_json(F.struct("filename")).alias("metadata"))
-    ingest(watch(spark, folder, "parquet", schema, pattern), to, f"{at}/docs", "", f"{at}/checkpoint").awaitTermination()
+    ingest(watch(spark, folder, "parquet", schema, pattern), to, f"{at}/docs", f"{at}/vectors", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/docs").groupBy("type").agg(F.countDistinct("id").alias("n"))

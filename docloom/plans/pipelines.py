@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import images
 from ..functions.models import Generate, generate
@@ -29,14 +30,15 @@ def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 51
     near = el.context(items, label.isin("table", "picture"), context_budget).select("filename", "seq", "context")
     kinds = F.when(label == "table", "table").otherwise("image")
     others = items.where(label.isin("table", "picture"))
-    image = F.lit(None).cast("string")
+    image, meta = F.lit(None).cast("string"), None
     if "image" in items.columns:
         pictures = others.where(label == "picture").withColumn("hash", images.perceptual_hash(F.col("image")))
         seen = dedup.greedy_hamming(pictures.where("hash IS NOT NULL"), "filename", "seq", "hash", threshold)
         gone = pictures.where("hash IS NOT NULL").select("filename", "seq").join(seen, ["filename", "seq"], "left_anti")
         others, image = others.join(gone, ["filename", "seq"], "left_anti"), F.when(label == "picture", F.col("image"))
+        others, meta = others.withColumn("image_meta", images.info(F.col("image"))), F.col("image_meta")
     others = others.join(near, ["filename", "seq"], "left")
-    others = others.select("filename", F.coalesce(image, F.col("text")).alias("content"), F.coalesce("context", F.lit("")).alias("context"), kinds.alias("type"), F.to_json(el.metadata(F.col("filename"), F.col("prov"))).alias("metadata"))
+    others = others.select("filename", F.coalesce(image, F.col("text")).alias("content"), F.coalesce("context", F.lit("")).alias("context"), kinds.alias("type"), F.to_json(el.metadata(F.col("filename"), F.col("prov"), meta)).alias("metadata"))
     # a chunk that is one table and no more is that table's element
     return chunks.join(others.select("filename", "content"), ["filename", "content"], "left_anti").unionByName(others)
 
@@ -76,6 +78,30 @@ def graph_answers(questions: DataFrame, rows: DataFrame, model: Generate | None
     return asked.select("qid", "question", "answer").unionByName(none.select("qid", "question", "answer"))
 
 
+def ask_graph(questions: DataFrame, edges: DataFrame, model: Generate, answer_model: Generate | None = None, most: int = 50) -> DataFrame:
+    """(qid, question, answer): a model turns each question (qid, question) into a pattern, which is matched with the edges.
+
+    A pattern is a JSON object with head, relation and tail, null or absent where any will do.  Up to `most` edges by
+    weight go into the prompt for the answer; without a pattern or an edge it is that it is not known.
+    """
+    asked = generate(questions.select("qid", "question"), "pattern", ["question"], model, prompts.PATTERN)
+    p = asked.select("qid", F.from_json("pattern", "head string, relation string, tail string").alias("p")).where("p IS NOT NULL AND coalesce(p.head, p.relation, p.tail) IS NOT NULL")
+    free = lambda c: F.col(f"p.{c}").isNull()
+    # one equi-join for each kind of pattern, on what it names
+    names, found = {"head": "src", "relation": "rel", "tail": "dst"}, None
+    for kind in range(1, 8):
+        named = [n for i, n in enumerate(names) if kind >> i & 1]
+        rows = p
+        for n in names:
+            rows = rows.where(~free(n) if n in named else free(n))
+        met = rows.select("qid", *(F.col(f"p.{n}").alias(names[n]) for n in named)).join(edges.select("src", "rel", "dst", "weight"), [names[n] for n in named])
+        met = met.select("qid", "src", "rel", "dst", "weight")
+        found = met if found is None else found.unionByName(met)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "src", "rel", "dst"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= most).select("qid", F.concat_ws(" ", "src", "rel", "dst").alias("row"))
+    return graph_answers(questions, rows, answer_model)
+
+
 def answer_questions(questions: DataFrame, vectors: DataFrame, records: DataFrame, k: int = 4, metric: str = "l2", model: Generate | None = None) -> DataFrame:
     """questions (qid, question, qvec) with their answers from the records (id, value)."""
     hits = search.top_k(questions, vectors, k, metric)

@@ -13,6 +13,7 @@ EXTRACTION = {
 #: Added to an extraction prompt where the kinds of triples are known.
 ALLOWED = "Use these kinds of triples where they fit:"
 COMMUNITY = "Say in a few sentences what the facts below are about, and which entities matter most."
+PATTERN = "Write the question as one pattern of the graph: a JSON object with head, relation and tail, null for what is asked."
 GRAPH_ANSWER = "Answer the question from the rows found in the graph and from nothing else."
 NOT_KNOWN = "I don't know."
 

@@ -29,6 +29,10 @@ RELATIONSHIP = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("head", "head_type", "relation", "tail", "tail_type")]
     + [T.StructField("confidence", T.DoubleType()), T.StructField("context", T.StringType()), T.StructField("language", T.StringType())]
 )
+NODE = T.StructType([*(T.StructField(c, T.StringType()) for c in ("node", "label", "type")), T.StructField("n", T.LongType())])
+EDGE = T.StructType(
+    [*(T.StructField(c, T.StringType()) for c in ("src", "rel", "dst")), T.StructField("weight", T.LongType()), T.StructField("confidence", T.DoubleType())]
+)
 GRAPH_ANSWER = T.StructType([T.StructField("relationships", T.ArrayType(RELATIONSHIP))])
 ITEM = T.StructType(
     [

@@ -261,3 +261,40 @@ def test_community_facts(spark):
     c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")], "node string, community string")
     got = {r["community"]: (r["n_nodes"], r["n_edges"], r["facts"]) for r in graph.community_facts(e, c, 1).collect()}
     assert got == {"a": (3, 2, "a R b"), "x": (1, 0, "")}
+
+
+def test_graph_store(spark, tmp_path):
+    n = spark.createDataFrame([("a", "Entity", "T", 1), ("b", "Entity", None, 2)], "node string, label string, type string, n long")
+    e = spark.createDataFrame([("a", "R", "b", 1, 0.5)], "src string, rel string, dst string, weight long, confidence double")
+    at = str(tmp_path / "g")
+    assert [x.count() for x in graph.open_graph(spark, at)] == [0, 0]
+    for _ in range(2):
+        graph.store_graph(spark, n, e, at)
+    graph.store_graph(spark, n.limit(0), e.withColumn("rel", F.lit("S")), at)
+    assert [x.count() for x in graph.open_graph(spark, at)] == [2, 2]
+
+
+def test_budgets_of_a_public_tokenizer(spark):
+    import public_tokenizers
+
+    from docloom.functions import tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The harbour wall was moved.", "", None, "internationalisation " * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(tokenizer.count(F.col("t"), path), tokenizer.decode(tokenizer.encode(F.col("t"), path), path), tokenizer.central_crop(F.col("t"), 3, path)).collect()
+    many = tokenizer.counter(path)
+    assert [r[0] for r in got] == [many(t or "") for t in texts] and [r[1] for r in got] == [t or "" for t in texts]
+    assert all(r[2] == t if not t or many(t) <= 3 else many(r[2]) <= 4 and r[2] in t for r, t in zip(got, texts))
+    items = items_of(spark, {"f": [("text", "one two"), ("table", "internationalisation"), ("text", "three four")]})
+    own = F.coalesce("text", F.lit(""))
+    near = elements.context(items, F.col("label") == "table", many("internationalisation") + 4, tokenizer.count(own, path), tokenizer.central_crop(own, 3, path)).first()
+    assert near["context"] == "one two\n\ninternationalisation\n\nthree four" and near["prev_tokens"] == 2
+    small = elements.context(items, F.col("label") == "table", 1, tokenizer.count(own, path), tokenizer.central_crop(own, 1, path)).first()
+    assert small["prev_n"] == 0 and small["context"] in "internationalisation" and many(small["context"]) < many("internationalisation")
+
+
+def test_entity_forms(spark):
+    cases = {' "Galsasky  Power S.A." ': "Galsasky Power S.A", "JASGO POWER LTD": "Jasgo Power Ltd", "JPOA": "Jpoa", "R. C.": "R. C", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(triples.normal_entity(F.col("t"))).collect()] == list(cases.values())

@@ -101,3 +101,28 @@ def test_questions_to_answers(spark):
     q = spark.createDataFrame([(7, "Which?", [3.1])], "qid long, question string, qvec array<float>")
     got = pipelines.answer_questions(q, v, docs, 2, model=lambda s, a: [x[0] for x in a]).first()
     assert got["answer"] == "Context:\n[Source 0]: d3\n\n[Source 1]: d4\n\nQuestion: Which?"
+
+
+def test_questions_as_patterns(spark):
+    edges = spark.createDataFrame([("a", "OWNS", "b", 3), ("a", "OWNS", "c", 1), ("d", "MADE", "b", 2)], "src string, rel string, dst string, weight long")
+    q = spark.createDataFrame([(1, '{"head": "a", "relation": "OWNS"}'), (2, '{"tail": "b"}'), (3, "no pattern"), (4, '{"head": "zz"}'), (5, "{}")], "qid long, question string")
+    got = {r["qid"]: r["answer"] for r in pipelines.ask_graph(q, edges, lambda s, a: [x[0] for x in a], lambda s, a: [x[1] for x in a], most=2).collect()}
+    assert got == {1: "a OWNS b\na OWNS c", 2: "a OWNS b\nd MADE b", 3: prompts.NOT_KNOWN, 4: prompts.NOT_KNOWN, 5: prompts.NOT_KNOWN}
+
+
+def test_community_summaries(spark):
+    edges = spark.createDataFrame([("a", "R", "b", 2), ("x", "R", "y", 1)], "src string, rel string, dst string, weight long")
+    got = {r["community"]: r["summary"] for r in pipelines.summarise_communities(edges, 5, lambda s, a: [f"{s[0] == prompts.COMMUNITY}:{x[0]}" for x in a]).collect()}
+    assert got == {"a": "True:a R b", "x": "True:x R y"}
+
+
+def test_files_by_a_parser(spark, tmp_path):
+    from docloom.sources import readers
+
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / name).write_bytes(name.encode() * 2)
+    parse = lambda name, data: [{"filename": name, "seq": i, "self_ref": f"#/{i}", "label": "text", "text": w, "prov": None} for i, w in enumerate(data.decode().split("."))]
+    got = readers.parse_files(readers.files(spark, str(tmp_path), "*.bin"), parse).collect()
+    assert sorted((r["filename"], r["seq"], r["text"]) for r in got) == [(n, i, t) for n in ("a.bin", "b.bin") for i, t in enumerate(n.split(".")[:1] + [f"bin{n[0]}", "bin"])]
+    assert [tuple(r) for r in readers.literal_documents(spark, ["x", "y"]).collect()] == [(0, "x"), (1, "y")]
+    assert readers.setting(spark, "docloom.none", "z") == "z"
