@@ -316,6 +316,37 @@ def p5_classes(spark, sf_dir):
     return members.join(links, ["field", "rep"], "left").select("field", "elem_no", F.col("rep").alias("class_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _p5_sets() -> str:
+    return r"""
+    WITH rows_ AS (
+      SELECT min(elem_no) AS elem_no, arg_min(type, elem_no) AS type, arg_min(content, elem_no) AS content, arg_min(description, elem_no) AS description
+      FROM elements GROUP BY coalesce(id, 'row ' || elem_no)
+    ), texts AS (
+      SELECT elem_no, 'content' AS field, content AS text FROM rows_ WHERE type IS DISTINCT FROM 'image'
+      UNION ALL SELECT elem_no, 'description', description FROM rows_
+    ), spoken AS (
+      SELECT elem_no, field, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL
+    ), sets AS (
+      SELECT elem_no, field, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs FROM spoken WHERE len(w) >= 25
+    ), run AS (
+      SELECT elem_no, field, len(runs) AS n, unnest(runs) AS r FROM sets
+    ), pairs AS (
+      SELECT x.field, x.elem_no AS a, y.elem_no AS b FROM run x JOIN run y ON x.field = y.field AND x.r = y.r AND x.elem_no < y.elem_no
+      GROUP BY x.field, x.elem_no, y.elem_no HAVING 2 * count(*) >= max(x.n) + max(y.n) - count(*)
+    )"""
+
+
+SQL["p5_found"] = _p5_sets() + " SELECT field, a AS elem_a, b AS elem_b FROM pairs"
+SQL["p5_classes"] = _p5_sets() + """, classes AS (
+      SELECT elem_no, field, min(elem_no) OVER (PARTITION BY field, list_sort(runs)) AS class_no FROM sets
+    ), links AS (
+      SELECT field, class_no, count(*) AS n FROM (
+        SELECT p.field, p.a AS class_no FROM pairs p JOIN classes x ON x.field = p.field AND x.elem_no = p.a AND x.class_no = p.a JOIN classes y ON y.field = p.field AND y.elem_no = p.b AND y.class_no = p.b
+        UNION ALL SELECT p.field, p.b FROM pairs p JOIN classes x ON x.field = p.field AND x.elem_no = p.a AND x.class_no = p.a JOIN classes y ON y.field = p.field AND y.elem_no = p.b AND y.class_no = p.b
+      ) GROUP BY ALL)
+    SELECT c.field, c.elem_no, c.class_no, coalesce(l.n, 0) AS n_links FROM classes c LEFT JOIN links l ON l.field = c.field AND l.class_no = c.class_no"""
+
+
 # --- 1: text from scanned pages
 
 
