@@ -1,9 +1,8 @@
 """Variant spellings of names linked to the entities they mean.
 
 Distinct names and registered names become unit vectors of the character n-grams that registered names have, hashed
-into BUCKETS and weighted by inverse document frequency over all distinct names.  Vectors are joined as relations: two of a cosine of
-AT_LEAST or more have their first common n-gram, rare ones first, before the point from which on the rest of
-either is shorter than AT_LEAST, so only n-grams before it are joined on, and no pair is lost.  Each pair
+into BUCKETS and weighted by inverse document frequency over all distinct names.  The sparse product of names and
+registered names is computed by tiles, and every pair of a cosine of AT_LEAST or more comes out of it.  Each pair
 is then checked word by word: order, initials, abbreviations, nicknames, titles, legal forms,
 acronyms and a few mistyped letters may differ, a different word may not.  A name keeps the TOP
 entities by cosine of those that it can be read as.
@@ -12,7 +11,10 @@ What is left is grouped by average linkage around the registered names (to_entit
 one entity only, or as one at clearly the least cost, make its cluster; any other name goes to the
 cluster, of those it reads as at nearly the least cost, with whose members its mean cosine is highest,
 and to none where two are equally near.  Names that mean no registered entity are joined with each
-other (similar_names), and grouped by average linkage from single names upwards (average_linkage).
+other as relations (similar_names): two vectors of a cosine of VARIANTS or more have their first common n-gram, rare
+ones first, before the point from which on the rest of either is shorter than that, so only n-grams before it
+are joined on, and no pair is lost.  They are grouped by average linkage from single names upwards
+(average_linkage).
 
 Nicknames are learned from names that give both (`Robert "Bob" ...`).
 
@@ -29,11 +31,12 @@ from collections.abc import Callable
 from copy import copy
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, ship
 from .common import arrow_rows, letters_digits, tasks
 
 GRAM, TOP, AT_LEAST = 3, 12, 0.3
@@ -41,6 +44,8 @@ GRAM, TOP, AT_LEAST = 3, 12, 0.3
 NEARLY = 0.15
 #: Cosine of names, and mean cosine of clusters, from which on they are variants of one another.
 VARIANTS = 0.7
+#: Names of a block on either side of a tile.
+TILE = 20_000
 #: Buckets of hashed n-grams, which bounds what is broadcast of their frequencies; most pairs of nicknames learned.
 BUCKETS, NICKNAMES = 1 << 18, 200_000
 #: Titles, and words that link others.
@@ -312,6 +317,71 @@ def link_names(texts: DataFrame, registry: DataFrame, top: int = TOP, at_least:
     return _links(distinct, registry, shared, top, at_least)
 
 
+class Block:
+    """Unit vectors of a block of registered names by n-gram."""
+
+    def __init__(self, f: Frequencies, names: list[str]):
+        self.form_of: list[int] = []
+        postings: dict[int, tuple[list[int], list[float]]] = {}
+        for no, name in enumerate(names):
+            for v in f.forms(name):
+                for b, w in v.items():
+                    at, weights = postings.setdefault(b, ([], []))
+                    at.append(len(self.form_of))
+                    weights.append(w)
+                self.form_of.append(no)
+        self.postings = {b: (np.array(x), np.array(w)) for b, (x, w) in postings.items()}
+
+    def near(self, v: dict[int, float], at_least: float) -> dict[int, float]:
+        """Every name (its number) of a cosine of at_least or more."""
+        met = [(*self.postings[b], w) for b, w in v.items() if b in self.postings]
+        if not met:
+            return {}
+        cosines = np.bincount(np.concatenate([x for x, _, _ in met]), np.concatenate([p * w for _, p, w in met]))
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(cosines >= at_least - 1e-9).tolist():
+            no = self.form_of[k]
+            best[no] = max(best.get(no, 0.0), float(cosines[k]))
+        return best
+
+
+def _tiles(names: DataFrame, known: DataFrame, shared, at_least: float, parallel: int) -> DataFrame:
+    """(name, entity_no, cosine, cost) of all pairs of at_least or more that can be read: a sparse product by tiles.
+
+    Names and registered names are dealt into blocks of TILE at most on average; each pair of blocks is one tile, met by
+    shuffling, and only what passes leaves it.  Neither side reaches the driver or a task as a whole.
+    """
+    down, across = max(4 * parallel, -(-names.count() // TILE)), max(1, -(-known.count() // TILE))
+    deal = lambda n: F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = ["down", "across"]
+    left = names.select("name", deal(down).alias("down"), every(across).alias("across")).repartition(2 * parallel, *tile)
+    right = known.select("name", "entity_no", "person", deal(across).alias("across"), every(down).alias("down")).repartition(2 * parallel, *tile)
+    blocks: dict[int, tuple[list, Block]] = {}
+
+    def product(x: pa.Table, y: pa.Table) -> pa.Table:
+        f = shared.value
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        if x.num_rows and y.num_rows:
+            no = y.column("across")[0].as_py()
+            if no not in blocks:
+                blocks.clear()
+                mine = list(zip(*(y.column(c).to_pylist() for c in ("name", "entity_no", "person"))))
+                blocks[no] = mine, Block(f, [m[0] for m in mine])
+            mine, block = blocks[no]
+            for name in x.column("name").to_pylist():
+                for k, c in block.near(f.of(name), at_least).items():
+                    registered, entity, person = mine[k]
+                    cost = reading(name, registered, person, f.nick)
+                    if cost is not None:
+                        for o, v in zip(out, (name, entity, c, cost)):
+                            o.append(v)
+        return pa.table([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=["name", "entity_no", "cosine", "cost"])
+
+    ship(names.sparkSession)
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(product, "name string, entity_no long, cosine double, cost double")
+
+
 def _registered(registry: DataFrame) -> DataFrame:
     return registry.where("trim(name) <> ''").groupBy("name").agg(F.min("entity_no").alias("entity_no"), F.max(F.col("entity_type").eqNullSafe("PERSON")).alias("person"))
 
@@ -321,37 +391,8 @@ def _links(distinct: DataFrame, registry: DataFrame, shared, top: int, at_least:
     # n-grams that no registered name has say nothing of which one is meant; one row a bucket at most
     own = _placed(known.select("name"), shared, 0.0, "name string", registered=True).select("bucket").distinct().collect()
     shared = distinct.sparkSession.sparkContext.broadcast(shared.value.only([r["bucket"] for r in own]))
-    rows = _placed(known, shared, at_least, "name string, entity_no long, person boolean", registered=True).withColumnRenamed("name", "registered")
-    mine = _placed(distinct.join(known.select("name"), "name", "left_anti"), shared, at_least, "name string")
-    met = mine.join(rows, "bucket").select("name", "registered", "entity_no", "person").distinct()
-
-    def reader():
-        f = shared.value
-        of: dict[str, dict[int, float]] = {}
-        forms: dict[str, list[dict[int, float]]] = {}
-
-        def step(b):
-            out: dict[str, list] = {k: [] for k in ("name", "entity_no", "cosine", "cost")}
-            if len(of) > 100_000 or len(forms) > 100_000:
-                of.clear()
-                forms.clear()
-            for name, registered, entity, person in zip(b["name"], b["registered"], b["entity_no"], b["person"]):
-                v = of.get(name)
-                if v is None:
-                    v = of[name] = f.of(name)
-                own = forms.get(registered)
-                if own is None:
-                    own = forms[registered] = f.forms(registered)
-                c = max(cosine(v, u) for u in own)
-                cost = reading(name, registered, person, f.nick) if c >= at_least - 1e-9 else None
-                if cost is not None:
-                    for k, x in zip(out, (name, entity, c, cost)):
-                        out[k].append(x)
-            return out
-
-        return step
-
-    read = arrow_rows(met, "name string, entity_no long, cosine double, cost double", reader)
+    mine = distinct.join(known.select("name"), "name", "left_anti")
+    read = _tiles(mine, known, shared, at_least, tasks(distinct))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cosine"), "entity_no"))
     linked = cut(read.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank"))
     return to_entities(linked, lambda names: unit_vectors(names, shared))
