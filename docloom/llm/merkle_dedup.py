@@ -4,8 +4,8 @@ Each leaf is normalised and hashed, the digests of an unordered node's children
 they are hashed, and records are grouped by the digest at the root.  A group counts only after its
 members' canonical forms have been compared in full, so a clash of digests never joins two records.
 
-Defined cases: a null leaf equals a null or absent one; a leaf without letters and digits equals
-the empty text; a null record (for JSON: text that is not one complete object) belongs to no group;
+Defined cases: a null leaf equals a null or absent one; under keys whose format is dropped a leaf without
+letters and digits equals the empty text, so `+` and `-` are equal; a null record (for JSON: text that is not one complete object) belongs to no group;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import letters_digits
+from .common import bounded, letters_digits
 
 Leaf = Callable[[Column, Column], Column]
 SALTS = 32
@@ -94,7 +94,12 @@ def records(df: DataFrame, number: str, record: Column, kind: T.DataType, leaf:
     )
 
 
-def groups(recs: DataFrame) -> DataFrame:
+def _repeated(recs: DataFrame) -> DataFrame:
+    """Digests that stand twice or more: all that most rows are shuffled for."""
+    return bounded(recs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+
+
+def _classes(recs: DataFrame) -> DataFrame:
     """(digest, canon, first_no, n_copies), one row for each class of equal records.
 
     Counted in two steps with a salt, each with partial aggregation, so a class with a third of
@@ -107,15 +112,27 @@ def groups(recs: DataFrame) -> DataFrame:
     return salted.groupBy("digest", "canon").agg(F.min("first_no").alias("first_no"), F.sum("n_copies").alias("n_copies"))
 
 
+def groups(recs: DataFrame) -> DataFrame:
+    """(first_no, n_copies), one row for each class of equal records.
+
+    Records of a digest that stands once are classes of their own, so only the others' canonical forms are compared.
+    """
+    many = _repeated(recs)
+    single = recs.join(many, "digest", "left_anti").select(F.col("no").alias("first_no"), F.lit(1).cast("long").alias("n_copies"))
+    return single.unionByName(_classes(recs.join(many, "digest", "left_semi")).select("first_no", "n_copies"))
+
+
 def copies(recs: DataFrame) -> DataFrame:
     """(first_no, copy_no): each row equal to one of a smaller number, with the smallest number of its class.
 
-    Rows meet their class on the digest and are compared with it in full.  The class side has one
-    row per class, so adaptive execution may split a class of any size over tasks.
+    Only rows of a digest that stands twice or more are compared; they meet their class on the digest and are
+    compared with it in full.  The class side has one row per class, so adaptive execution may split a class of any
+    size over tasks.
     """
-    many = groups(recs).where("n_copies > 1").select("digest", F.col("canon").alias("g_canon"), "first_no")
+    some = recs.join(_repeated(recs), "digest", "left_semi")
+    many = _classes(some).where("n_copies > 1").select("digest", F.col("canon").alias("g_canon"), "first_no")
     return (
-        recs.join(many, "digest")
+        some.join(many, "digest")
         .where((F.col("canon") == F.col("g_canon")) & (F.col("no") > F.col("first_no")))
         .select("first_no", F.col("no").alias("copy_no"))
         .distinct()
