@@ -1,8 +1,8 @@
 """A mix in which each source has its target share of all tokens.
 
 Each record gets a random key by hashing its id with a seed.  Within each source, records are in
-the order of their keys: a fixed number of key ranges per source holds nearly equal numbers of
-records, because keys are uniform, so no source is ever sorted in one task.  Sums of the ranges are
+the order of their keys: key ranges, their number growing with the records, hold nearly equal numbers of
+records of a source, because keys are uniform, so no source is ever sorted in one task.  Sums of the ranges are
 few; their running sums plus running sums inside each range give every record the tokens before it,
 and each source is cut where its budget ends.  Further passes over a source repeat it from its
 beginning, so a record with p tokens up to and with it is taken in pass e while p + e * S is within
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
+#: Least number of ranges of a source, and records of all sources for one of them beyond that.
+RANGES, PER_RANGE = 256, 20_000
 
 
 def keyed(counts: DataFrame, seed: int = 0) -> DataFrame:
-    """counts (doc_id, source, n_tokens) with a uniform key and its range."""
+    """counts (doc_id, source, n_tokens) with a uniform key and its range; there are more ranges the more records there are."""
+    ranges = min(max(RANGES, -(-counts.count() // PER_RANGE)), 1 << 20)
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
-    return counts.withColumn("key", key).withColumn("range", F.pmod(F.shiftright("key", 48), F.lit(1 << 16)) / (1 << 16) * RANGES).withColumn("range", F.col("range").cast("int"))
+    return counts.withColumn("key", key).withColumn("range", F.shiftright((F.shiftright("key", 32) + (1 << 31)) * ranges, 32).cast("int"))
 
 
 def budgets(sums: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
@@ -35,9 +37,10 @@ def budgets(sums: DataFrame, targets: DataFrame, total: int | None) -> DataFrame
 
     Without a total, it is the largest for which every source that has tokens can reach its share.
     """
-    size = sums.groupBy("source").agg(F.sum("range_tokens").alias("size"))
     t = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    both = t.join(F.broadcast(size), "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    # only sources with a target, so there are no more rows than targets
+    size = sums.join(t.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("range_tokens").alias("size"))
+    both = t.join(size, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     can = F.col("size") * F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))
     live = (F.col("target_share") > 0) & (F.col("size") > 0)
     most = F.lit(total) if total is not None else F.min(F.when(live, can / F.col("target_share"))).over(Window.partitionBy())
@@ -54,9 +57,9 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     """
     docs = keyed(counts.where("source IS NOT NULL"), seed)
     sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("range_tokens"))
-    # at most RANGES rows for each source, whatever the number of records
+    # a row for each source and range
     before = sums.withColumn("before", F.sum("range_tokens").over(Window.partitionBy("source").orderBy("range")) - F.col("range_tokens"))
-    plan = before.join(F.broadcast(budgets(sums, targets, total)), "source").select("source", "range", "before", "size", "budget", "max_repeats")
+    plan = before.join(budgets(sums, targets, total), "source").select("source", "range", "before", "size", "budget", "max_repeats")
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id")
     placed = docs.withColumn("own", F.sum("n_tokens").over(inside)).join(plan, ["source", "range"])
     upto = F.col("before") + F.col("own")
