@@ -362,5 +362,7 @@ def p1_repaired(spark, sf_dir):
 
 @query
 def p1_found(spark, sf_dir):
-    """Damages of contents and contexts."""
-    return p1_repaired(spark, sf_dir).select("elem_no", "field", F.explode("damages").alias("damage")).distinct()
+    """Damages of contents and contexts that scanning does."""
+    from .scan_repair import DAMAGES
+
+    return p1_repaired(spark, sf_dir).select("elem_no", "field", F.explode("damages").alias("damage")).where(F.col("damage").isin(*DAMAGES)).distinct()

@@ -11,7 +11,9 @@ mark running headers.  Each text is then repaired:
 * characters: a token outside the vocabulary, or far rarer in it than a word it looks like, is looked
   up in the trie by intersecting it with the token's Levenshtein automaton, which yields every word
   within DISTANCE edits.  Of those whose difference is made of confusions of shapes only, words that
-  the text has elsewhere come first, then the more frequent;
+  stand beside the same neighbours elsewhere in the text come first, then those that the text has, then the more frequent;
+* spelling: in a text with any of these damages, a token that no text has and no confusion explains becomes a word one edit away
+  where that stands beside the same neighbour elsewhere in the text;
 * reflow: lines of a paragraph are joined; list items, table rows and blank lines keep their place.
 
 Defined cases: null texts give no row, blank ones no damage; texts of any length are repaired whole;
@@ -37,6 +39,8 @@ DISTANCE = 2
 RARER = 20
 #: Words of this share of all are never damaged.
 SURE = 2e-5
+#: Least letters of a token that is read as a word without a confusion of shapes.
+SPELLED = 5
 DAMAGES = ("hyphenation", "characters", "header", "page_number")
 
 #: Shapes that are taken for others, (printed, read).
@@ -230,6 +234,32 @@ class Repairer:
             self.known[token] = got
         return got
 
+    def spellings(self, token: str) -> tuple[str, ...]:
+        """Words at one edit of a token of letters that no text has."""
+        key = f" {token}"
+        got = self.known.get(key)
+        if got is None:
+            plain = len(token) >= SPELLED and token.isalpha() and token not in self.n
+            got = self.known[key] = tuple(sorted(self.trie.within(token, 1))) if plain else ()
+        return got
+
+    @staticmethod
+    def _in_context(order: list[str], unknown: set[str]) -> dict[str, Counter]:
+        """For each unknown token the words that stand elsewhere beside one of its neighbours, with how many of these they stand beside."""
+        after: dict[str, set[str]] = {}
+        before: dict[str, set[str]] = {}
+        for a, b in zip(order, order[1:]):
+            after.setdefault(a, set()).add(b)
+            before.setdefault(b, set()).add(a)
+        out: dict[str, Counter] = {x: Counter() for x in unknown}
+        for i, x in enumerate(order):
+            if x in out:
+                if i:
+                    out[x].update(after[order[i - 1]])
+                if i + 1 < len(order):
+                    out[x].update(before[order[i + 1]])
+        return out
+
     def furniture(self, line: str) -> tuple[bool, bool]:
         """Whether a line is a running header, and whether it is or has a printed page number."""
         s = line.strip()
@@ -288,14 +318,28 @@ class Repairer:
             t = "".join(parts) + t[at:]
         after = {x.strip("|") for x in TOKEN.findall(t.lower())} if t is not text else {x.strip("|") for x in tokens}
         wrong = {}
+        options: dict[str, tuple[str, ...]] = {}
         for x in after | tokens:
             if x and x not in self.frequent:
                 c = self.candidates(x)
                 # halves of a broken word are no misread words
                 if c and (x in after or self._whole(x, text)):
                     wrong[x] = next((w for w in c if w in here), c[0])
+                    if len(c) > 1:
+                        options[x] = c
         if wrong:
             found.add("characters")
+        spelled = {x: c for x in after if found and x not in wrong and (c := self.spellings(x))}
+        if options or spelled:
+            near = self._in_context([x.strip("|") for x in TOKEN.findall(t.lower())], options.keys() | spelled.keys())
+            for x, c in options.items():
+                wrong[x] = max(c, key=lambda w: (near[x][w], w in here, -c.index(w)))
+            for x, c in spelled.items():
+                best = max(c, key=lambda w: (near[x][w], self.n.get(w, 0), w))
+                if near[x][best]:
+                    wrong[x] = best
+                    found.add("spelling")
+        if wrong:
             t = TOKEN.sub(lambda m: self._cased(m.group(), wrong), t)
         return reflow(t), sorted(found)
 

