@@ -12,6 +12,8 @@ likelihoods 2^-bits, with bits divided by TEMPER because words of a text depend
 A text is segmented by the cheapest path over its sentences, a change of language costing
 SWITCH bits.
 
+A text, or segment, whose words in lower case are long in every language (STRANGE) is in none of them: `und`.
+
 Training takes a bounded sample of labelled texts (about SAMPLE rows of each table, in even shares of the languages, by hash
 of the row number); labels are checked by training twice: texts whose code is shortest in another language
 than their label's are left out of the second training.
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
+#: What a text in none of the languages is labelled.
+OTHER = "und"
 LANGUAGES = ("eng", "spa", "deu", "fra", "por", "ita")
 ORDER = 5
 SAMPLE = 20_000
@@ -44,6 +48,8 @@ PART = 0.25
 STOPS = tuple(".!?…")
 CLOSING = " \t\r\n\"'»”’)]"
 CACHE = 400_000
+#: Bits a byte of words in lower case, in the language that has fewest, from which on a text of FEW such words or more is in none of them.
+STRANGE, FEW = 6.4, 6
 CLIP, NAME = 14.0, 0.03
 
 WORD = re.compile(r"(?<![\w/])[^\W\d_]+(?![\w/])")
@@ -98,19 +104,32 @@ class WordBits(dict):
 
     def __init__(self, trees: list[ContextTree]):
         super().__init__()
-        self.trees, self.table = trees, np.zeros((1024, len(trees)))
+        # beside the lengths: the shortest as it is, bytes and number of words, of words in lower case
+        self.trees, self.table = trees, np.zeros((1024, len(trees) + 3))
 
     def __missing__(self, word: str) -> int:
         no = len(self)
         if no == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         bits = np.array([t.word_bits(word.lower()) for t in self.trees])
-        self.table[no] = np.minimum(bits - bits.min(), CLIP) * (NAME if word[0].isupper() and not (len(word) > 3 and word.isupper()) else 1.0)
+        if word.islower():
+            self.table[no, len(self.trees) :] = bits.min(), len(word.encode("utf-8", "replace")) + 1, 1
+        self.table[no, : len(self.trees)] = np.minimum(bits - bits.min(), CLIP) * (NAME if word[0].isupper() and not (len(word) > 3 and word.isupper()) else 1.0)
         self[word] = no
         return no
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text in each language, and its number of words."""
+        sums, n = self.sums(texts)
+        return sums[:, : len(self.trees)], n
+
+    def strangeness(self, sums: np.ndarray) -> np.ndarray:
+        """Bits a byte of the words in lower case, 0 where there are too few of them."""
+        least, size, words = sums[:, len(self.trees) :].T
+        return np.where(words >= FEW, least / np.maximum(size, 1), 0.0)
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of each text's rows of the table, and its number of words."""
         if len(self) > CACHE:
             self.clear()
         numbers: list[int] = []
@@ -122,7 +141,7 @@ class WordBits(dict):
                     t = SPACED.sub(" ", t)
                 numbers.extend(map(row, WORD.findall(t)))
             ends[i + 1] = len(numbers)
-        run = np.zeros((len(numbers) + 1, len(self.trees)))
+        run = np.zeros((len(numbers) + 1, self.table.shape[1]))
         if numbers:
             np.cumsum(self.table[np.array(numbers)], axis=0, out=run[1:])
         return run[ends[1:]] - run[ends[:-1]], np.diff(ends)
@@ -169,12 +188,13 @@ def label_texts(df: DataFrame, keys: dict[str, str], trees) -> DataFrame:
         table = WordBits(trees.value)
 
         def step(b):
-            bits, n = table.of(b["text"])
+            sums, n = table.sums(b["text"])
+            bits, strange = sums[:, : len(LANGUAGES)], table.strangeness(sums)
             best, sure = bits.argmin(axis=1), confidence(bits)
             return {
                 **{k: b[k] for k in names},
-                "lang": [LANGUAGES[i] if w else None for i, w in zip(best, n)],
-                "confidence": np.where(n > 0, sure, 0.0),
+                "lang": [OTHER if x >= STRANGE else LANGUAGES[i] if w else None for i, w, x in zip(best, n, strange)],
+                "confidence": np.where(strange >= STRANGE, np.minimum(strange / (2 * STRANGE), 1.0), np.where(n > 0, sure, 0.0)),
                 "n_words": n,
             }
 
@@ -219,14 +239,15 @@ def segment_texts(df: DataFrame, keys: dict[str, str], trees) -> DataFrame:
             out: dict[str, list] = {k: [] for k in (*names, "segment_no", "start", "end", "lang", "confidence", "n_words")}
             spans = [sentences(t) if t else [] for t in b["text"]]
             parts = [t[a:z] for t, own in zip(b["text"], spans) for a, z in own]
-            bits, n = table.of(parts)
+            sums, n = table.sums(parts)
+            bits = sums[:, : len(LANGUAGES)]
             whole = np.array([p.rstrip(CLOSING)[-1:] in STOPS for p in parts], bool) & (n >= WORDS)
             bits = np.where(whole[:, None], bits, bits * PART)
             gap = bits.min(axis=1)
             at = 0
             for row, own in enumerate(spans):
                 m = len(own)
-                mine, words, low = bits[at : at + m], n[at : at + m], gap[at : at + m]
+                mine, words, low, own_sums = bits[at : at + m], n[at : at + m], gap[at : at + m], sums[at : at + m]
                 at += m
                 if not words.sum():
                     continue
@@ -243,8 +264,11 @@ def segment_texts(df: DataFrame, keys: dict[str, str], trees) -> DataFrame:
                     if words[i:j].sum():
                         for k in names:
                             out[k].append(b[k][row])
-                        sure = float(confidence(mine[i:j].sum(axis=0)[None])[0])
-                        for k, v in zip(("segment_no", "start", "end", "lang", "confidence", "n_words"), (no, own[i][0], own[j - 1][1], LANGUAGES[langs[i]], sure, int(words[i:j].sum()))):
+                        sure, lang = float(confidence(mine[i:j].sum(axis=0)[None])[0]), LANGUAGES[langs[i]]
+                        strange = float(table.strangeness(own_sums[i:j].sum(axis=0)[None])[0])
+                        if strange >= STRANGE:
+                            sure, lang = min(strange / (2 * STRANGE), 1.0), OTHER
+                        for k, v in zip(("segment_no", "start", "end", "lang", "confidence", "n_words"), (no, own[i][0], own[j - 1][1], lang, sure, int(words[i:j].sum()))):
                             out[k].append(v)
                         no += 1
                     i = j

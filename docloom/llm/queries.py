@@ -188,9 +188,11 @@ def p7_segments(spark, sf_dir):
 @query
 def p7_found(spark, sf_dir):
     """Triples with a missing or wrong language, and the languages of contents in several."""
+    from .language import OTHER
+
     trees = _language_trees(spark, sf_dir)
-    wrong = _triple_labels(spark, sf_dir, trees).where("lang IS NOT NULL AND NOT given <=> lang")
-    parts = _element_segments(spark, sf_dir, trees).groupBy("elem_no").agg(F.collect_set("lang").alias("langs"))
+    wrong = _triple_labels(spark, sf_dir, trees).where(f"lang <> '{OTHER}' AND NOT given <=> lang")
+    parts = _element_segments(spark, sf_dir, trees).where(F.col("lang") != OTHER).groupBy("elem_no").agg(F.collect_set("lang").alias("langs"))
     mixed = parts.where("size(langs) > 1").select("elem_no", F.explode("langs").alias("lang"))
     return (
         wrong.select(F.lit("triple").alias("kind"), F.col("triple_no").alias("row_no"), "lang")

@@ -426,6 +426,21 @@ def test_short_foreign_sentences_at_the_end(spark):
     assert [x["lang"] for x in got] == ["eng", "deu"]
 
 
+def test_texts_in_none_of_the_languages(spark):
+    """Trained on the tables; texts of the Universal Declaration of Human Rights, which they don't have."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    b = spark.sparkContext.broadcast(language.train(language.labelled_sample(d, "doc_id", "text", "lang")))
+    texts = [
+        ("eng", "All human beings are born free and equal in dignity and rights."), ("spa", "Todos los seres humanos nacen libres e iguales en dignidad y derechos."),
+        ("deu", "Alle Menschen sind frei und gleich an Würde und Rechten geboren."), ("por", "Todos os seres humanos nascem livres e iguais em dignidade e em direitos."),
+        ("und", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."), ("und", "Alla människor är födda fria och lika i värde och rättigheter."),
+        ("und", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."), ("und", "Tüm insanlar özgür, onur ve haklar bakımından eşit doğarlar."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "k long, text string")
+    for f in (language.label_texts, language.segment_texts):
+        assert {x["k"]: x["lang"] == "und" for x in f(df, {"k": "long"}, b).collect()} == {i: lab == "und" for i, (lab, _) in enumerate(texts)}
+
+
 def test_languages_are_sampled_in_even_shares(spark):
     df = spark.createDataFrame([(i, "x", "eng") for i in range(3000)] + [(5000 + i, "y" * 9000, "por") for i in range(20)] + [(9000, None, "deu"), (9001, "z", "xx")], "no long, text string, lang string")
     got = Counter(lab for lab, _ in language.labelled_sample(df, "no", "text", "lang", 600))
