@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def greedy_hamming(df: DataFrame, group: str, order: str, hash_: str, threshold: int = 10) -> DataFrame:
     """(group, order, hash) of the rows kept: a row goes if an earlier kept one of its group is within threshold bits.
@@ -38,6 +40,34 @@ def greedy_hamming(df: DataFrame, group: str, order: str, hash_: str, threshold:
     return rows.mapInPandas(run, f"`{group}` {kind[group]}, `{order}` {kind[order]}, `{hash_}` {kind[hash_]}")
 
 
+def greedy_near(df: DataFrame, group: str, order: str, hash_: str, threshold: int = 10) -> DataFrame:
+    """The rows of greedy_hamming, for thresholds that banding prunes at (below 12), with no group in one task.
+
+    Of equal hashes only the first can stay.  Pairs within threshold are found by hamming_pairs; then, all groups and
+    rows at a time, a row stays once no earlier near one is left, and those near a row that stays go.  Each round is
+    checkpointed; rounds are as many as the longest chain of near rows that alternately stay and go.
+    """
+    if threshold >= 12:
+        raise ValueError("hashes are not pruned by bands at this threshold: use greedy_hamming")
+    own = F.xxhash64(group).alias("_g")
+    rows = df.where(F.col(hash_).isNotNull()).groupBy(group, hash_).agg(F.min(order).alias(order))
+    edges = cut(hamming_pairs(rows.select(own, F.col(order).alias("_k"), F.col(hash_).alias("_h")), "_g", "_k", "_h", threshold).select("_g", "a", "b"))
+    gone = []
+    while not edges.isEmpty():
+        later = edges.select("_g", F.col("b").alias("a")).distinct()
+        stay = edges.select("_g", "a").distinct().join(later, ["_g", "a"], "left_anti")
+        out = cut(edges.join(stay, ["_g", "a"]).select("_g", F.col("b").alias("_k")).distinct())
+        left = edges.join(stay, ["_g", "a"], "left_anti")
+        for end in "ab":
+            left = left.join(out.withColumnRenamed("_k", end), ["_g", end], "left_anti")
+        gone.append(out)
+        edges = cut(left)
+    kept = rows.withColumn("_g", own).withColumn("_k", F.col(order))
+    for out in gone:
+        kept = kept.join(out, ["_g", "_k"], "left_anti")
+    return kept.select(group, order, hash_)
+
+
 def greedy_hamming_sql(df: DataFrame, group: str, order: str, hash_: str, threshold: int = 10) -> DataFrame:
     """The same fold as one expression, for groups that fit into a row."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(hash_).alias("h"))))

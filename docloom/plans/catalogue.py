@@ -228,6 +228,13 @@ def greedy_dedup(spark, d):
     return dedup.greedy_hamming(_hashes(spark, d), "label", "vec_id", "h", 24).select("label", "vec_id")
 
 
+@query(f"""WITH e AS (SELECT label, list({{'id': vec_id, 'h': {_BITS}}} ORDER BY vec_id) AS l FROM embeddings GROUP BY label),
+    k AS (SELECT label, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: hamming(y.h, x.h) <= 11)) > 0 THEN acc ELSE list_append(acc, x) END, []::STRUCT(id BIGINT, h VARCHAR)[]) AS kept FROM e)
+    SELECT label, u.id AS vec_id FROM (SELECT label, unnest(kept) AS u FROM k)""")
+def greedy_dedup_near(spark, d):
+    return dedup.greedy_near(_hashes(spark, d), "label", "vec_id", "h", 11).select("label", "vec_id")
+
+
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 0 AND k.text = d.text)")
 def dedup_semi(spark, d):
     docs = read(spark, d, "documents")

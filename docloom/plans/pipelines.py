@@ -33,7 +33,7 @@ def build_elements(items: DataFrame, budget: int = 128, context_budget: int = 51
     image, meta = F.lit(None).cast("string"), None
     if "image" in items.columns:
         pictures = others.where(label == "picture").withColumn("hash", images.perceptual_hash(F.col("image")))
-        seen = dedup.greedy_hamming(pictures.where("hash IS NOT NULL"), "filename", "seq", "hash", threshold)
+        seen = (dedup.greedy_near if threshold < 12 else dedup.greedy_hamming)(pictures.where("hash IS NOT NULL"), "filename", "seq", "hash", threshold)
         gone = pictures.where("hash IS NOT NULL").select("filename", "seq").join(seen, ["filename", "seq"], "left_anti")
         others, image = others.join(gone, ["filename", "seq"], "left_anti"), F.when(label == "picture", F.col("image"))
         others, meta = others.withColumn("image_meta", images.info(F.col("image"))), F.col("image_meta")

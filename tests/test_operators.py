@@ -298,3 +298,16 @@ def test_entity_forms(spark):
     cases = {' "Galsasky  Power S.A." ': "Galsasky Power S.A", "JASGO POWER LTD": "Jasgo Power Ltd", "JPOA": "Jpoa", "R. C.": "R. C", None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert [r[0] for r in df.select(triples.normal_entity(F.col("t"))).collect()] == list(cases.values())
+
+
+@pytest.mark.parametrize("threshold", [0, 2, 5, 11])
+def test_greedy_rounds_equal_the_fold(spark, threshold):
+    r = random.Random(threshold)
+    rows, h = [], 0
+    for i in range(160):
+        h = r.choice([h, h ^ (1 << r.randrange(63)), h ^ sum(1 << b for b in r.sample(range(63), 6)), r.getrandbits(63)])
+        rows.append((r.choice(["g", "h", None]), i, h))
+    df = spark.createDataFrame([*rows, ("g", 999, None)], "g string, o int, h long")
+    got = {tuple(x) for x in dedup.greedy_near(df, "g", "o", "h", threshold).collect()}
+    assert got == {tuple(x) for x in dedup.greedy_hamming(df, "g", "o", "h", threshold).collect()}
+    assert dedup.greedy_near(df.limit(0), "g", "o", "h").count() == 0
