@@ -98,6 +98,7 @@ def _counter():
         spoken = [(f, w) for f, w in zip(b["field"], map(word_runs, b["text"])) if len(w) >= LEAST_WORDS]
         sets = list(zip([f for f, _ in spoken], shingle_sets([w for _, w in spoken], table)))
         runs, n = np.unique(np.concatenate([x for _, x in sets]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        runs, n = runs[n > 1], n[n > 1]
         of = [[len(x) for g, x in sets if g == f] for f in FIELDS]
         return {
             "field": [None] * len(runs) + list(FIELDS),
@@ -109,11 +110,11 @@ def _counter():
 
 
 def ordering(fields: DataFrame, sample: int = ORDERING, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """From about sample texts: the runs met twice or more, sorted, the most frequent only, with their counts; the mean number of runs of each field's texts."""
+    """From about sample texts: the runs met twice or more in a batch, sorted, the most frequent only, with their counts; the mean number of runs of each field's texts."""
     k = max(1, -(-fields.count() // sample))
     some = fields.where(F.pmod(F.xxhash64(F.lit("order"), "field", "elem_no"), F.lit(k)) == 0).select("field", "text")
     counted = arrow_rows(some, "field string, run long, n long", _counter)
-    runs = counted.where("field IS NULL").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "run").limit(most).toPandas()
+    runs = counted.where("field IS NULL").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(most).toPandas()
     at = (hashes := runs["run"].to_numpy(np.int64).view(np.uint64)).argsort()
     sizes = {r["field"]: r["runs"] / max(1, r["texts"]) for r in counted.where("field IS NOT NULL").groupBy("field").agg(F.sum("run").alias("runs"), F.sum("n").alias("texts")).collect()}
     return hashes[at], runs["n"].to_numpy(np.int64)[at], [max(1.0, sizes.get(f, 0)) for f in FIELDS]
