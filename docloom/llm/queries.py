@@ -274,14 +274,6 @@ def p4_links(spark, sf_dir):
     return link_names(names_of(read(spark, sf_dir, "triples")), read(spark, sf_dir, "entity_ref"))
 
 
-@query
-def p4_clusters(spark, sf_dir):
-    """Every person's and organisation's name with its cluster, and the registered entity where it is one's."""
-    from .names import cluster_names, entity_names
-
-    return cluster_names(entity_names(read(spark, sf_dir, "triples")), read(spark, sf_dir, "entity_ref"))
-
-
 @query
 def p4_found(spark, sf_dir):
     """Heads and tails that mean a registered entity under another spelling."""
