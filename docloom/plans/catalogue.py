@@ -441,7 +441,16 @@ def name_components(spark, d):
     return graph.components(_close_names(spark, d))
 
 
-@query()
+def _labels(rounds: int) -> str:
+    """Rounds of votes of the neighbours' labels and a node's own, ties to the smaller label."""
+    steps = ["l0 AS (SELECT DISTINCT src AS node, src AS c FROM b)"]
+    for i in range(rounds):
+        votes = f"SELECT b.src AS node, l.c FROM b JOIN l{i} l ON l.node = b.dst UNION ALL SELECT node, c FROM l{i}"
+        steps.append(f"l{i + 1} AS (SELECT node, arg_min(c, (-n, c)) AS c FROM (SELECT node, c, count(*) AS n FROM ({votes}) GROUP BY ALL) GROUP BY node)")
+    return f"WITH b AS {_BOTH}, {', '.join(steps)} SELECT node, c AS community FROM l{rounds}"
+
+
+@query(_labels(3))
 def communities(spark, d):
     return graph.label_propagation(graph.edges(read(spark, d, "triples")), 3)
 
